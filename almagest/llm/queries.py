@@ -62,5 +62,5 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return self_perplexity(load(spark, d, "documents"), "doc_id", shares=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_found, p8_ids, p9_mixture, p9_order, p10_found, p10_perplexity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_found, p8_ids, p9_order, p9_mixture, p10_found, p10_perplexity)}
 ORACLES: dict[str, str] = {}
