@@ -63,4 +63,12 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_found, p8_ids, p9_order, p9_mixture, p10_found, p10_perplexity)}
-ORACLES: dict[str, str] = {}
+_BARE = "regexp_replace(lower(trim(c)), '^res_|-', '', 'g')"
+_ID = f"CASE WHEN contains(c, ':') THEN coalesce((SELECT min(resource_id) FROM x WHERE k = lower(split_part(trim(c), ':', 1)) || ':' || split_part(trim(c), ':', 2)), trim(c)) WHEN regexp_full_match({_BARE}, '[0-9a-f]{{32}}') THEN 'res_' || {_BARE} ELSE trim(c) END"
+ORACLES: dict[str, str] = {
+    "p6_found": f"""WITH RECURSIVE x AS (SELECT DISTINCT resource_id, lower(split_part(u, ':', 1)) || ':' || split_part(u, ':', 2) AS k FROM (SELECT resource_id, unnest(external_ids) AS u FROM resources)),
+raw AS (SELECT from_id AS a, into_id AS b FROM merges UNION SELECT subject, object.resource FROM assertions WHERE predicate = 'same_as' AND NOT coalesce(negated, false) AND status IN ('accepted', 'proposed', 'disputed')),
+p AS (SELECT {_ID.replace("(c", "(a").replace("trim(c)", "trim(a)")} AS a, {_ID.replace("(c", "(b").replace("trim(c)", "trim(b)")} AS b FROM raw WHERE a IS NOT NULL AND b IS NOT NULL),
+e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b), w AS (SELECT a AS n, a AS m FROM e UNION SELECT w.n, e.b FROM w JOIN e ON e.a = w.m)
+SELECT min(m) AS group_id, n AS resource_id FROM w GROUP BY n"""
+}
