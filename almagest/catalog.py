@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almagest.functions import allen, fuzzy, geo, text, vectors
+from almagest.functions import temporal_text as tt
 from almagest.functions.ids import canonical_id
 from almagest.functions.ticks import DAY, tick, weekday
-from almagest.operators import claims, graph, intervals, search, series
+from almagest.operators import claims, extract, graph, intervals, search, series
 from almagest.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,3 +532,36 @@ def vector_topk_by_code(s: SparkSession, d: str) -> DataFrame:
 def distance_from_point(s: SparkSession, d: str) -> DataFrame:
     f = load(s, d, "resource_facts").select("canonical_id", "placement").distinct().filter("placement.frame = 'wgs84' and placement.minx = placement.maxx")
     return f.select("canonical_id", F.round(geo.haversine_m(F.col("placement.minx"), F.col("placement.miny"), F.lit(0.0), F.lit(51.5)) / 1000, 3).alias("km"))
+
+
+# ---- extraction, time expressions
+
+
+@query(f"""WITH m AS (SELECT mention_id, any_value({norm_sql('label')}) AS norm, any_value(coalesce(types, [])) AS mt FROM entity_mentions GROUP BY 1),
+r AS (SELECT DISTINCT resource_id, rt, {norm_sql('l')} AS norm FROM (SELECT resource_id, coalesce(types, []) AS rt, unnest(list_concat([label], coalesce(aliases, []))) AS l FROM resources) WHERE l IS NOT NULL),
+h AS (SELECT mention_id, count(DISTINCT resource_id) AS c, min(resource_id) AS f FROM m JOIN r USING (norm) WHERE NOT list_contains(mt, 'Event') AND (list_has_any(mt, rt) OR list_contains(mt, 'Entity')) GROUP BY 1)
+SELECT mention_id, coalesce(c, 0) AS candidates, CASE coalesce(c, 0) WHEN 0 THEN 'new' WHEN 1 THEN 'existing' ELSE 'ambiguous' END AS decision, CASE WHEN c = 1 THEN f END AS resource FROM m LEFT JOIN h USING (mention_id)""")
+def extract_link_decisions(s: SparkSession, d: str) -> DataFrame:
+    return extract.link_decisions(load(s, d, "entity_mentions"), load(s, d, "resources"))
+
+
+@query("SELECT doc_id, mention_ref, problem FROM (SELECT doc_id, mention_ref, 'repeated' AS problem FROM (SELECT DISTINCT * FROM entity_mentions) GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT doc_id, mention_ref, 'no label' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE label IS NULL OR trim(label) = '' UNION ALL SELECT doc_id, mention_ref, 'bad span' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE span_start >= span_end OR span_start < 0)")
+def extract_validate(s: SparkSession, d: str) -> DataFrame:
+    return extract.validate_mentions(load(s, d, "entity_mentions"))
+
+
+@query()
+def extract_gazetteer(s: SparkSession, d: str) -> DataFrame:
+    return extract.gazetteer_mentions(load(s, d, "documents"), load(s, d, "gazetteer"))
+
+
+@query()
+def extract_times(s: SparkSession, d: str) -> DataFrame:
+    return extract.time_mentions(load(s, d, "documents"))
+
+
+@query()
+def temporal_parse_corpus(s: SparkSession, d: str) -> DataFrame:
+    """Every different valid_time, parsed once."""
+    t = load(s, d, "assertions").select(F.col("valid_time").alias("raw")).distinct()
+    return t.select("raw", tt.resolve_temporal(F.col("raw"), F.lit(None).cast("bigint"), F.lit(0)).alias("p")).select("raw", "p.*")

@@ -80,3 +80,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_metric_report, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p7_found)}
+
+_LINKS = """links AS (SELECT DISTINCT * FROM (SELECT 'branches' AS forest, branch_id AS node, parent AS up FROM branches UNION ALL SELECT 'type_defs', type_key, unnest(parents) FROM type_defs UNION ALL SELECT 'gazetteer', place_id, unnest(parents) FROM gazetteer)),
+nodes AS (SELECT DISTINCT forest, node FROM (SELECT 'branches' AS forest, branch_id AS node FROM branches UNION ALL SELECT 'type_defs', type_key FROM type_defs UNION ALL SELECT 'gazetteer', place_id FROM gazetteer)),
+e AS (SELECT l.forest, l.node, l.up FROM links l JOIN nodes n ON n.forest = l.forest AND n.node = l.up)"""
+ORACLES: dict[str, str] = {
+    "p3_found": """WITH w AS (SELECT DISTINCT canonical_id AS id, placement.minx AS x, placement.miny AS y, placement.maxx AS x2, placement.maxy AS y2 FROM resource_facts WHERE placement.frame = 'wgs84'),
+p AS (SELECT id, x, y FROM w WHERE x = x2 AND y = y2), b AS (SELECT * FROM w WHERE x < x2 AND y < y2), named AS (SELECT canonical_id AS id FROM resource_facts WHERE len(list_filter(places, lambda q: q IS NOT NULL)) > 0)
+SELECT DISTINCT id_a, id_b FROM (
+SELECT a.id AS id_a, c.id AS id_b FROM p a JOIN p c ON a.id < c.id WHERE abs(a.y - c.y) < 0.01 AND 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(a.y - c.y) / 2), 2) + cos(radians(a.y)) * cos(radians(c.y)) * pow(sin(radians(a.x - c.x) / 2), 2)))) <= 250
+UNION ALL SELECT least(b.id, q.id), greatest(b.id, q.id) FROM (SELECT * FROM p WHERE id NOT IN (SELECT id FROM named)) q JOIN b ON b.id <> q.id AND q.y BETWEEN b.y AND b.y2 AND (q.x BETWEEN b.x AND b.x2 OR q.x + 360 BETWEEN b.x AND b.x2 OR q.x - 360 BETWEEN b.x AND b.x2))""",
+    "p5_found": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT forest, node, up FROM e UNION SELECT r.forest, r.node, e.up FROM reach r JOIN e ON e.forest = r.forest AND e.node = r.up),
+bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up),
+good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad), w AS (SELECT forest, node, node AS top, 0 AS depth FROM good UNION SELECT w.forest, w.node, e.up, w.depth + 1 FROM w JOIN e ON e.forest = w.forest AND e.node = w.top)
+SELECT w.forest, w.node, w.top AS root, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.forest = w.forest AND e.node = w.top) GROUP BY 1, 2, 3 UNION ALL SELECT forest, node, 'cycle', -1 FROM bad""",
+    "p5_descendants": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT forest, node, up FROM e UNION SELECT r.forest, r.node, e.up FROM reach r JOIN e ON e.forest = r.forest AND e.node = r.up),
+bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up), good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad)
+SELECT g.forest, g.node, count(DISTINCT r.node) AS descendants FROM good g LEFT JOIN (SELECT r.* FROM reach r JOIN good x ON x.forest = r.forest AND x.node = r.node) r ON r.forest = g.forest AND r.up = g.node GROUP BY 1, 2""",
+}
