@@ -27,7 +27,7 @@ def tokens(c: Column) -> Column:
 def grams(c: Column) -> Column:
     """Different bigrams of every run of letters and digits, sorted."""
     runs = F.regexp_extract_all(normalize_label(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(runs, _windows))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(runs, lambda r: _windows(r)))))
 
 
 def all_tokens_in(query: str, doc_tokens: Column, spark_query: Column | None = None) -> Column:
