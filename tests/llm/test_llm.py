@@ -1,12 +1,14 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from almagest.llm.components import connected_groups
 from almagest.llm.mixture import mixture_report, training_order
-from almagest.llm.names import link_mentions
+from almagest.llm.names import BUCKETS, LEAST_COSINE, Weights, link_mentions, link_spellings, trigrams
 from almagest.llm.repetition import repeated_share, repetitive, self_perplexity, tokenize
 from almagest.llm.spelling import NO, STRONG, WEAK, compare, edits
 from almagest.llm.tokenizer import VOCABULARY, PerfectHash, count_tokens, encode, vocabulary
@@ -188,3 +190,16 @@ def test_link_mentions(spark):
     got = {r.mention_id: (r.resource_id, r.as_label) for r in link_mentions(ms, rs).collect()}
     assert got == {1: ("r1", False), 3: ("r2", False), 4: ("r3", False), 5: ("r3", True), 6: ("r4", False)}
     assert link_mentions(ms.filter("false"), rs).count() == 0 and link_mentions(ms, rs.filter("false")).count() == 0
+
+
+def test_candidates_hold_every_accepted_pair(spark):
+    given, last = ["Anna", "William", "Katherine", "Jo"], ["Smith", "Marlowe", "Ek", "Finquensarby"]
+    names = [(f"r{i}", f"{g} {x}", True) for i, (g, x) in enumerate((g, x) for g in given for x in last)]
+    names += [(f"f{i}", f"Anna Q{'abcdefghijklmnopqrstuvwxy'[i]}lvane", True) for i in range(25)] + [("o1", "Lartel Historical Society", False), ("o2", "Ox Press " * 12, False)]
+    texts = ["Anna Smyth", "Smyth", "Bill Smith", "Kate Marlwoe", "W. Marlowe", "J. Smiht", "Jo Ek", "Ek, Jo", "Anna Qalvnae", "Qblvane Ana", "Society Lartel Hist.", "Larel Histroical Society", "the LHS", "Ox Press " * 11 + "Xo Pres", "Ox Prses " + "Ox Press " * 11, "Wiliam Finquensarbi"]
+    got = {(r.text, r.resource_id) for r in link_spellings(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(names, "resource_id string, name string, person boolean")).collect()}
+    distinct = {n for _, n, _ in names}
+    count = Counter(b for n in distinct for b in trigrams(n))
+    w = Weights(np.array([math.log(1 + len(distinct) / max(1, count[b])) for b in range(BUCKETS)]))
+    want = {(t, i) for t in texts for i, n, person in names if compare(t, n, person)[0] != NO and w.cosine(t, n) >= LEAST_COSINE}
+    assert got == want and {t for t, _ in want} >= {"Anna Smyth", "Anna Qalvnae", "Bill Smith"}
