@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -41,3 +42,20 @@ def top_k_by_code(vectors: DataFrame, query: list[float], k: int, *, id_col: str
     d = len(query)
     near = vectors.filter(F.size(vec_col) == d).withColumn("_h", hamming(sign_code(F.col(vec_col), d), sign_code(q, d))).orderBy("_h", id_col).limit(max(16 * k, 64))
     return near.select(id_col, dot(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def top_k_by_code_each(vectors: DataFrame, queries: DataFrame, k: int, dims: int, *, share: float = 0.3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score) of the k nearest of every row of ``queries`` by dot product, ties by id.
+
+    Exact scores for those within the least Hamming distance of sign codes that holds ``share`` of the rows, and 16 k or 64 rows.
+    """
+    v = vectors.filter(F.size(vec_col) == dims).select(id_col, vec_col, sign_code(F.col(vec_col), dims).alias("_code"))
+    q = queries.filter(F.size(vec_col) == dims).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"), sign_code(F.col(vec_col), dims).alias("_qcode"))
+    pairs = v.crossJoin(q).withColumn("_h", hamming(F.col("_code"), F.col("_qcode")))
+    counts = pairs.groupBy("query_id", "_h").agg(F.count("*").alias("_n"))  # at most dims + 1 rows a query
+    w = W.partitionBy("query_id")
+    counts = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_h"))).withColumn("_all", F.sum("_n").over(w))
+    enough = F.least("_all", F.greatest(F.lit(max(16 * k, 64)), F.ceil(F.col("_all") * share)))
+    bound = counts.filter(F.col("_upto") >= enough).groupBy("query_id").agg(F.min("_h").alias("_bound"))
+    near = pairs.join(bound, "query_id").filter("_h <= _bound").select("query_id", id_col, dot(F.col(vec_col), F.col("_q")).alias("score"))
+    return near.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), id_col))).filter(F.col("_r") <= k).drop("_r")
