@@ -81,7 +81,7 @@ one AS (SELECT id, nxt FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 walk AS (SELECT id, nxt, 1 AS k FROM one UNION ALL SELECT w.id, o.nxt, k + 1 FROM walk w JOIN one o ON o.id = w.nxt WHERE k < 16)
 SELECT id, arg_max(nxt, k) AS final_id FROM walk GROUP BY id""")
 def lookup_redirect(s: SparkSession, d: str) -> DataFrame:
-    m = load(s, d, "merges").filter("from_id is not null and into_id is not null").select(canonical_id(F.col("from_id")).alias("id"), canonical_id(F.col("into_id")).alias("into"), "requested_at", "merge_id").distinct().filter("id > into")
+    m = load(s, d, "merges").filter("from_id is not null and into_id is not null").select(canonical_id(F.col("from_id")).alias("id"), canonical_id(F.col("into_id")).alias("into"), "requested_at", "merge_id").distinct().filter("id <> into")
     one = m.groupBy("id").agg(F.min(F.struct("requested_at", "merge_id", "into")).alias("b")).select("id", "b.into")
     return graph.follow_redirects(one).withColumnRenamed("final", "final_id")
 

@@ -22,3 +22,9 @@ def test_vector_topk_by_code_recall(spark, tmp_path):
     assert {r.query_id for r in got} == set(range(0, 1500, 100)) and len(got) == 150
     hits = sum(len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-(v @ v[q]), kind="stable")[:10].tolist())) for q in range(0, 1500, 100))
     assert hits / 150 >= 0.9
+
+
+def test_lookup_redirect_follows_all_merges(spark, tmp_path):
+    rows = [("a", "b", 1, 1), ("b", "d", 2, 2), ("d", "c", 3, 3), ("c", "c", 0, 0), ("x", "y", 1, 4), ("y", "x", 1, 5), ("a", "z", 9, 6), (None, "q", 1, 7)]
+    got = {r.id: r.final_id for r in run(spark, tmp_path, "lookup_redirect", merges=(rows, "from_id string, into_id string, requested_at long, merge_id long"))}
+    assert got == {"a": "c", "b": "c", "d": "c", "x": "x", "y": "y"}
