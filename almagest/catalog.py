@@ -395,7 +395,7 @@ _HIST = "(SELECT user_id, event_id // 10 AS seq, ts, event_type FROM events WHER
 
 
 def _hist(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "events").filter("event_id % 10 < 7").select("user_id", F.floor(F.col("event_id") / 10).cast("bigint").alias("seq"), "ts", "event_type")
+    return load(s, d, "events").select("user_id", F.col("event_id").alias("seq"), "ts", "event_type")
 
 
 @query(f"SELECT user_id, count(DISTINCT seq) AS events, min(seq) AS first_sequence, max(seq) AS last_sequence, min(ts) AS first_at, max(ts) AS last_at, max(seq) - min(seq) + 1 - count(DISTINCT seq) AS missing FROM {_HIST} GROUP BY 1")

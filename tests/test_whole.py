@@ -28,3 +28,10 @@ def test_lookup_redirect_follows_all_merges(spark, tmp_path):
     rows = [("a", "b", 1, 1), ("b", "d", 2, 2), ("d", "c", 3, 3), ("c", "c", 0, 0), ("x", "y", 1, 4), ("y", "x", 1, 5), ("a", "z", 9, 6), (None, "q", 1, 7)]
     got = {r.id: r.final_id for r in run(spark, tmp_path, "lookup_redirect", merges=(rows, "from_id string, into_id string, requested_at long, merge_id long"))}
     assert got == {"a": "c", "b": "c", "d": "c", "x": "x", "y": "y"}
+
+
+def test_history_takes_all_events(spark, tmp_path):
+    events = ([(1, i, datetime(2024, 1, 1, 0, i % 60), "x") for i in (3, 7, 8, 9, 19)], "user_id long, event_id long, ts timestamp, event_type string")
+    (c,) = run(spark, tmp_path, "history_conversations", events=events)
+    assert (c.events, c.first_sequence, c.last_sequence, c.missing) == (5, 3, 19, 12)
+    assert {(r.after, r.missing_from, r.missing_to) for r in QUERIES["history_gaps"](spark, str(tmp_path)).collect()} == {(3, 4, 6), (9, 10, 18)}
