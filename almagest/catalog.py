@@ -341,7 +341,10 @@ _BOX = f"(SELECT canonical_id AS id, placement.minx AS minx, placement.miny AS m
 @query(f"SELECT a.id AS l_id, b.id AS r_id FROM {_BOX} a JOIN {_BOX} b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE a.minx < a.maxx AND a.maxx - a.minx < 5 AND b.minx = b.maxx")
 def grid_spatial_join(s: SparkSession, d: str) -> DataFrame:
     p = search.latest_states(load(s, d, "resource_facts")).filter("placement.frame = 'wgs84'").select(F.col("canonical_id").alias("id"), "placement.minx", "placement.miny", "placement.maxx", "placement.maxy")
-    return intervals.grid_overlap_join(p.filter("minx < maxx and maxx - minx < 5"), p.filter("minx = maxx"), cell=5.0).select("l_id", "r_id")
+    boxes, points, wide = p.filter("minx < maxx"), p.filter("minx = maxx"), F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) >= 5
+    # wide boxes are kept under larger cells, so that none has very many
+    fine, coarse = (intervals.grid_overlap_join(boxes.filter(of), points, cell=cell) for of, cell in ((~wide, 5.0), (wide, 60.0)))
+    return fine.unionByName(coarse).select("l_id", "r_id")
 
 
 # ---- observations, positions, recurrence
@@ -380,7 +383,6 @@ def asof_position_step(s: SparkSession, d: str) -> DataFrame:
 def recurrence_occurrences(s: SparkSession, d: str) -> DataFrame:
     """Fridays 16:30 at UTC+9 in each shipment's interval; day 1 after the epoch is a Friday."""
     _, x = _spans(s, d)
-    x = x.filter(F.col("b") - F.col("a") < 60 * DAY)
     return x.select("k", F.size(series.weekly_occurrences(F.col("a"), F.col("b") + DAY, 4, 59_400_000, 32_400_000)).cast("bigint").alias("n")).filter("n > 0")
 
 

@@ -35,3 +35,19 @@ def test_history_takes_all_events(spark, tmp_path):
     (c,) = run(spark, tmp_path, "history_conversations", events=events)
     assert (c.events, c.first_sequence, c.last_sequence, c.missing) == (5, 3, 19, 12)
     assert {(r.after, r.missing_from, r.missing_to) for r in QUERIES["history_gaps"](spark, str(tmp_path)).collect()} == {(3, 4, 6), (9, 10, 18)}
+
+
+def test_recurrence_of_long_shipments(spark, tmp_path):
+    lines = [(1, date(2020, 1, 1)), (1, date(2020, 12, 31)), (2, date(2020, 1, 3))]
+    orders = ([(1, 1, date(2020, 1, 1)), (2, 1, date(2020, 1, 1))], "o_orderkey long, o_custkey long, o_orderdate date")
+    got = {r.k: r.n for r in run(spark, tmp_path, "recurrence_occurrences", orders=orders, lineitem=(lines, "l_orderkey long, l_shipdate date"))}
+    assert got == {1: 52, 2: 1}
+
+
+def test_grid_join_with_wide_boxes(spark, tmp_path):
+    rng = random.Random(6)
+    boxes = [(f"b{i}", (x := rng.uniform(-180, 170)), (y := rng.uniform(-90, 80)), min(180.0, x + w), min(90.0, y + rng.choice([0.5, 3, 70]))) for i, w in enumerate([0.5, 4, 5, 30, 180, 360] * 5)]
+    points = [(f"p{i}", (x := rng.uniform(-180, 180)), (y := rng.uniform(-90, 90)), x, y) for i in range(80)]
+    facts = [(i, 1, 1, ("wgs84", *box)) for i, *box in boxes + points]
+    got = [(r.l_id, r.r_id) for r in run(spark, tmp_path, "grid_spatial_join", resource_facts=(facts, "canonical_id string, known_from long, source_revision long, placement struct<frame:string,minx:double,miny:double,maxx:double,maxy:double>"))]
+    assert sorted(got) == sorted((b[0], p[0]) for b in boxes for p in points if b[1] <= p[1] <= b[3] and b[2] <= p[2] <= b[4])
