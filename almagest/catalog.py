@@ -491,7 +491,7 @@ def export_ntriples(s: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT resource_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+'))), ' ') AS words FROM (SELECT DISTINCT resource_id, trim(label) AS label FROM resources) WHERE regexp_full_match(label, '[\x20-\x7e]+')")
 def label_tokens(s: SparkSession, d: str) -> DataFrame:
-    r = _res(s, d).select("resource_id", "label").distinct().filter(F.col("label").rlike(r"^[\x20-\x7e]+$"))
+    r = _res(s, d).select("resource_id", "label").distinct().filter("label is not null")
     return r.select("resource_id", F.concat_ws(" ", F.array_sort(F.array_distinct(text.tokens(F.col("label"))))).alias("words"))
 
 

@@ -51,3 +51,9 @@ def test_grid_join_with_wide_boxes(spark, tmp_path):
     facts = [(i, 1, 1, ("wgs84", *box)) for i, *box in boxes + points]
     got = [(r.l_id, r.r_id) for r in run(spark, tmp_path, "grid_spatial_join", resource_facts=(facts, "canonical_id string, known_from long, source_revision long, placement struct<frame:string,minx:double,miny:double,maxx:double,maxy:double>"))]
     assert sorted(got) == sorted((b[0], p[0]) for b in boxes for p in points if b[1] <= p[1] <= b[3] and b[2] <= p[2] <= b[4])
+
+
+def test_label_tokens_of_all_scripts(spark, tmp_path):
+    rows = [(i, x, [], [], [], None, None) for i, x in (("a", "Old Mill 2"), ("b", "東京駅"), ("c", "Müller Haus"), ("d", None))]
+    got = {r.resource_id: r.words for r in run(spark, tmp_path, "label_tokens", resources=(rows, "resource_id string, label string, types array<string>, aliases array<string>, external_ids array<string>, visibility string, license string"))}
+    assert got["a"] == "2 mill old" and got["b"] == "京駅 東京" and "haus" in got["c"].split() and "d" not in got
