@@ -330,9 +330,8 @@ def time_granularity(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH w AS (SELECT o_orderkey AS k, epoch_ms(o_orderdate) AS s, epoch_ms(o_orderdate) + {DAY} AS e FROM orders WHERE o_orderpriority LIKE '1%'), r AS (SELECT k, a AS s, b + {DAY} AS e FROM {_SHIP} WHERE b - a < {20 * DAY}) SELECT r.k AS r_k, count(*) AS n FROM w JOIN r ON w.s < r.e AND r.s < w.e GROUP BY 1")
 def interval_overlap_join(s: SparkSession, d: str) -> DataFrame:
     o, x = _spans(s, d)
-    left = load(s, d, "orders").filter("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("k")).join(o.select("k", "s", "e"), "k")
-    right = x.filter(F.col("b") - F.col("a") < 20 * DAY).select("k", F.col("a").alias("s"), (F.col("b") + DAY).alias("e"))
-    return intervals.interval_overlap_join(left, right).groupBy("r_k").agg(F.count("*").alias("n"))
+    right = x.select("k", F.col("a").alias("s"), (F.col("b") + DAY).alias("e"))
+    return intervals.overlap_counts(o, right).select(F.col("k").alias("r_k"), "n")
 
 
 _BOX = f"(SELECT canonical_id AS id, placement.minx AS minx, placement.miny AS miny, placement.maxx AS maxx, placement.maxy AS maxy FROM {LATEST} WHERE placement.frame = 'wgs84')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -51,6 +52,24 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, *, start: str = "s"
     return wider_right.select(*cols).unionByName(wider_left.select(*cols))
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, *, start: str = "s", end: str = "e") -> DataFrame:
+    """Rows of right with n, the number of left's intervals [start, end) that overlap theirs, if any: those started before its end less those ended by its start.
+
+    The running counts go over the different times only. Null or empty intervals overlap nothing.
+    """
+    left, right = (d.filter(F.col(start) < F.col(end)) for d in (left, right))
+    no = F.lit(0).cast("bigint")
+    marks = left.groupBy(F.col(start).alias("_t")).agg(F.count("*").alias("_in"), no.alias("_out"))
+    marks = marks.unionByName(left.groupBy(F.col(end).alias("_t")).agg(no.alias("_in"), F.count("*").alias("_out")))
+    for c in (start, end):
+        marks = marks.unionByName(right.select(F.col(c).alias("_t")).distinct().select("_t", no.alias("_in"), no.alias("_out")))
+    w = W.orderBy("_t")
+    at = marks.groupBy("_t").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    at = at.select("_t", (F.sum("_in").over(w) - F.col("_in")).alias("_started"), F.sum("_out").over(w).alias("_ended"))
+    n = right.join(at.select(F.col("_t").alias(end), "_started"), end).join(at.select(F.col("_t").alias(start), "_ended"), start)
+    return n.withColumn("n", F.col("_started") - F.col("_ended")).filter("n > 0").drop("_started", "_ended")
+
+
 def grid_overlap_join(left: DataFrame, right: DataFrame, *, cell: float) -> DataFrame:
     """Pairs of rows whose boxes (minx, miny, maxx, maxy) meet, edges included; columns are prefixed l_ and r_.
 

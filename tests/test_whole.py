@@ -57,3 +57,14 @@ def test_label_tokens_of_all_scripts(spark, tmp_path):
     rows = [(i, x, [], [], [], None, None) for i, x in (("a", "Old Mill 2"), ("b", "東京駅"), ("c", "Müller Haus"), ("d", None))]
     got = {r.resource_id: r.words for r in run(spark, tmp_path, "label_tokens", resources=(rows, "resource_id string, label string, types array<string>, aliases array<string>, external_ids array<string>, visibility string, license string"))}
     assert got["a"] == "2 mill old" and got["b"] == "京駅 東京" and "haus" in got["c"].split() and "d" not in got
+
+
+def test_interval_overlap_join_takes_all_rows(spark, tmp_path):
+    rng = random.Random(4)
+    day = lambda n: date(2020, 1, 1) + timedelta(n)
+    orders = [(i, 1, day(rng.randrange(200)), f"{rng.randrange(1, 6)}-X") for i in range(80)]
+    lines = [(k, day(rng.randrange(200))) for k in range(60) for _ in range(rng.randrange(1, 4))]
+    got = {r.r_k: r.n for r in run(spark, tmp_path, "interval_overlap_join", orders=(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string"), lineitem=(lines, "l_orderkey long, l_shipdate date"))}
+    spans = {k: [t for i, t in lines if i == k] for k, _ in lines}
+    want = {k: sum(min(t) <= o[2] <= max(t) for o in orders) for k, t in spans.items()}
+    assert got == {k: n for k, n in want.items() if n}
