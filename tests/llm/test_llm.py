@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from almagest.llm.components import connected_groups
+from almagest.llm.components import connected_groups, forest_levels
 from almagest.llm.mixture import mixture_report, training_order
 from almagest.llm.names import BUCKETS, LEAST_COSINE, Weights, link_mentions, link_spellings, trigrams
 from almagest.llm.repetition import repeated_share, repetitive, self_perplexity, tokenize
@@ -39,6 +40,19 @@ def test_groups(spark, bound):
     assert got == {x: find(x) for x in up}
 
 
+def test_levels_of_ordered_chains(spark):
+    """Chains in the order of their ids, in 100 partitions: the levels shrink by a constant factor."""
+    n, length = 100_000, 1000
+    at = spark.range(n).withColumn("k", F.col("id") % length)
+    name = lambda c: F.format_string("%06d", c)
+    edges = at.filter(F.col("k") < length - 1).select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b"))
+    levels = forest_levels(edges, n // 100)
+    assert 1 < len(levels) < 2 * math.log2(n) / 3
+    got = connected_groups(edges, "a", "b", partition_edges=n // 100)
+    wrong = got.filter(F.col("group_id").cast("bigint") != F.floor(F.col("member").cast("bigint") / length) * length)
+    assert got.count() == n and wrong.isEmpty()
+
+
 def test_no_pairs(spark):
     assert connected_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
