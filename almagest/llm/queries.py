@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from almagest.functions.ids import resolve_ids
 from almagest.llm.components import connected_groups
 from almagest.llm.mixture import mixture_report, training_order
-from almagest.llm.names import link_mentions
+from almagest.llm.names import group_mentions, link_mentions
 from almagest.llm.repetition import repetitive, self_perplexity
 from almagest.llm.tokenizer import count_tokens, encode
+from almagest.plans import small
 from almagest.sources.tables import load
 
 LIVE = ("accepted", "proposed", "disputed")
@@ -24,6 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return linked.filter("not as_label").select("mention_id", "resource_id")
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return group_mentions(load(spark, d, "entity_mentions").select("mention_id", "mention", "label", "types"), load(spark, d, "resources").select("resource_id", "label", "aliases", "types"))
+
+
 def identity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(a, b): the pairs of resources that merges and live affirmed same_as assertions call one."""
     merges = load(spark, d, "merges").select(F.col("from_id").alias("a"), F.col("into_id").alias("b"))
@@ -42,8 +47,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "source", "text").filter("source is not null")
-    wanted = load(spark, d, "mix_targets").select("source").distinct()
-    return count_tokens(docs.join(F.broadcast(wanted), "source", "left_semi"), F.struct("doc_id", "source"), "text").select("key.doc_id", "key.source", "n_tokens")
+    wanted = small(load(spark, d, "mix_targets").select("source").distinct(), 10_000)
+    return count_tokens(docs.join(wanted, "source", "left_semi"), F.struct("doc_id", "source"), "text").select("key.doc_id", "key.source", "n_tokens")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +67,7 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return self_perplexity(load(spark, d, "documents"), "doc_id", shares=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p6_found, p8_ids, p9_order, p9_mixture, p10_found, p10_perplexity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p8_ids, p9_order, p9_mixture, p10_found, p10_perplexity)}
 _BARE = "regexp_replace(lower(trim(c)), '^res_|-', '', 'g')"
 _ID = f"CASE WHEN contains(c, ':') THEN coalesce((SELECT min(resource_id) FROM x WHERE k = lower(split_part(trim(c), ':', 1)) || ':' || split_part(trim(c), ':', 2)), trim(c)) WHEN regexp_full_match({_BARE}, '[0-9a-f]{{32}}') THEN 'res_' || {_BARE} ELSE trim(c) END"
 ORACLES: dict[str, str] = {

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from almagest.llm.components import connected_groups, forest_levels
 from almagest.llm.mixture import mixture_report, training_order
-from almagest.llm.names import BUCKETS, LEAST_COSINE, Weights, link_mentions, link_spellings, trigrams
+from almagest.llm.names import LEAST_COSINE, forms, group_mentions, link_mentions, link_spellings
 from almagest.llm.repetition import repeated_share, repetitive, self_perplexity, tokenize
 from almagest.llm.spelling import NO, STRONG, WEAK, compare, edits
 from almagest.llm.tokenizer import VOCABULARY, PerfectHash, count_tokens, encode, vocabulary
+from almagest.llm.vectors import average_linkage, cosine_join, cosines, gram_weights, grams
 
 # ---- components
 
@@ -204,6 +205,9 @@ def test_link_mentions(spark):
     got = {r.mention_id: (r.resource_id, r.as_label) for r in link_mentions(ms, rs).collect()}
     assert got == {1: ("r1", False), 3: ("r2", False), 4: ("r3", False), 5: ("r3", True), 6: ("r4", False)}
     assert link_mentions(ms.filter("false"), rs).count() == 0 and link_mentions(ms, rs.filter("false")).count() == 0
+    more = ms.unionByName(spark.createDataFrame([(20, "Quentin Dalmorvertan", None, ["Person"]), (21, "Qeuntin Dalmorvertan", "Dalmorvertan, Quentin", ["Person"]), (22, "Ursula Dalmorvertan", None, ["Person"])], ms.schema))
+    groups = {r.mention_id: r.group_id for r in group_mentions(more, rs).collect()}
+    assert groups[3] == "r2" and groups[20] == groups[21] == "mention:20" and groups[22] == "mention:22" and len(groups) == 12
 
 
 def test_candidates_hold_every_accepted_pair(spark):
@@ -212,8 +216,51 @@ def test_candidates_hold_every_accepted_pair(spark):
     names += [(f"f{i}", f"Anna Q{'abcdefghijklmnopqrstuvwxy'[i]}lvane", True) for i in range(25)] + [("o1", "Lartel Historical Society", False), ("o2", "Ox Press " * 12, False)]
     texts = ["Anna Smyth", "Smyth", "Bill Smith", "Kate Marlwoe", "W. Marlowe", "J. Smiht", "Jo Ek", "Ek, Jo", "Anna Qalvnae", "Qblvane Ana", "Society Lartel Hist.", "Larel Histroical Society", "the LHS", "Ox Press " * 11 + "Xo Pres", "Ox Prses " + "Ox Press " * 11, "Wiliam Finquensarbi"]
     got = {(r.text, r.resource_id) for r in link_spellings(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(names, "resource_id string, name string, person boolean")).collect()}
-    distinct = {n for _, n, _ in names}
-    count = Counter(b for n in distinct for b in trigrams(n))
-    w = Weights(np.array([math.log(1 + len(distinct) / max(1, count[b])) for b in range(BUCKETS)]))
-    want = {(t, i) for t in texts for i, n, person in names if compare(t, n, person)[0] != NO and w.cosine(t, n) >= LEAST_COSINE}
-    assert got == want and {t for t, _ in want} >= {"Anna Smyth", "Anna Qalvnae", "Bill Smith"}
+    kept = sorted({f for _, n, person in names for f in forms(n, person)})
+    w = gram_weights(spark.createDataFrame([(i, *f) for i, f in enumerate(kept)], "fid bigint, fam string, s string"))
+
+    def cosine(t, n, person):
+        both = [(x, y, f) for f, x in forms(t) for g, y in forms(n, person) if f == g]
+        return max(cosines(*map(list, zip(*both)), w), default=0) if both else 0
+
+    want = {(t, i) for t in texts for i, n, person in names if compare(t, n, person)[0] != NO and cosine(t, n, person) >= LEAST_COSINE}
+    assert got == want and {t for t, _ in want} >= {"Smyth", "Anna Smyth", "Anna Qalvnae", "Bill Smith", "J. Smiht", "Wiliam Finquensarbi", "Larel Histroical Society"}
+
+
+def test_cosine_join_against_all_pairs(spark):
+    rng = random.Random(3)
+    syllables = ["dor", "pol", "cra", "fel", "mar", "tuk", "irb", "oss"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 6)))
+    left, right = ([(i, rng.choice("csjqt"), word()) for i in range(300)] for _ in range(2))
+    left += [(900, "c", "x" * 40_000), (901, "s", "ab"), (902, "j", "東京")]
+    right += [(900, "j", "京東"), (901, "c", "a")]
+    dfs = [spark.createDataFrame(x, "fid bigint, fam string, s string") for x in (left, right)]
+    w = gram_weights(dfs[1])
+    got = {(r.lid, r.rid): r.cosine for r in cosine_join(*dfs, w, 0.3).collect()}
+    pairs = [(a, b) for a in left for b in right if a[1] == b[1]]
+    all_ = cosines([a[2] for a, _ in pairs], [b[2] for _, b in pairs], [a[1] for a, _ in pairs], w)
+    want = {(a[0], b[0]): c for (a, b), c in zip(pairs, all_, strict=True) if c >= 0.3}
+    assert got.keys() == want.keys() and len(want) > 500 and (902, 900) in want and all(abs(got[k] - c) < 1e-9 for k, c in want.items())
+    assert len(grams(["a\U0001f600b" * 3], ["c"])[0]) == 3 and cosine_join(dfs[0].filter("false"), dfs[1], w, 0.3).count() == 0
+
+
+def test_average_linkage_against_one_merge_at_a_time(spark):
+    rng = random.Random(12)
+    n = 60
+    sim = {(a, b): round(rng.random() ** 3, 3) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.15}
+    sim |= {(a, a + 1): 0.9 for a in range(0, n - 1, 4)}
+    clusters = {i: [i] for i in range(n)}
+
+    def avg(x, y):
+        return round(sum(sim.get((min(a, b), max(a, b)), 0) for a in clusters[x] for b in clusters[y]) / len(clusters[x]) / len(clusters[y]), 9)
+
+    while True:
+        far, x, y = min((-avg(x, y), x, y) for x in clusters for y in clusters if x < y)
+        if -far < 0.3:
+            break
+        clusters[x] += clusters.pop(y)
+    want = {i: k for k, c in clusters.items() for i in c}
+    edges = spark.createDataFrame([(b, a, s) for (a, b), s in sim.items()] + [(1, 1, 0.9), (None, 2, 0.9)], "a bigint, b bigint, sim double")
+    got = {r.node: r.cluster for r in average_linkage(edges, least=0.3).collect()}
+    assert {i: got.get(i, i) for i in range(n)} == want and len(set(want.values())) < n
+    assert average_linkage(edges.filter("false"), least=0.3).count() == 0
