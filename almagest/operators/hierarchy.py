@@ -4,6 +4,10 @@ Links are contracted inside bounded fragments: each fragment solves its own chai
 node that lives in another fragment). Only the nodes that other fragments point to form the quotient forest, with the
 chains as weighted links; it is solved by the same step until one fragment holds it. Then fragment paths are expanded
 with the solved exits. A circle inside a fragment is seen there, a circle across fragments in a later quotient.
+
+No fragment holds more than its share of one key: the children of a parent that has very many are spread over several
+fragments (those without the parent keep it as their exit), and so are the links of a node with very many parents (no
+other node passes through such a node inside a fragment).
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almagest.operators.graph import closure
-from almagest.plans import cut, parts_for
+from almagest.plans import cut, parts_for, small
 
 LINK, ROOT, CYCLE = "link", "root", "cycle"
 _SCHEMA = "forest string, node string, exit string, steps int, kind string, path array<string>"
@@ -25,11 +29,14 @@ _SCHEMA = "forest string, node string, exit string, steps int, kind string, path
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Chains of one fragment up to their exits, the shortest per exit (ties: the smallest path)."""
     rows: dict = defaultdict(list)
-    for f, n, x, s, k, p in zip(pdf.forest, pdf.node, pdf.exit, pdf.steps, pdf.kind, pdf.path, strict=True):
+    split = set()
+    for f, n, x, s, k, p, w in zip(pdf.forest, pdf.node, pdf.exit, pdf.steps, pdf.kind, pdf.path, pdf.wide, strict=True):
         rows[f, n].append((x, int(s), k, tuple(p)))
+        if w:
+            split.add((f, n))
     below, waits = defaultdict(list), {}
     for (f, n), links in rows.items():
-        local = {(f, x) for x, _, k, _ in links if k == LINK and (f, x) in rows}
+        local = {(f, x) for x, _, k, _ in links if k == LINK and (f, x) in rows and (f, x) not in split}
         waits[f, n] = len(local)
         for up in local:
             below[up].append((f, n))
@@ -40,7 +47,7 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         for x, s, k, p in rows[me]:
             if k == CYCLE:
                 cases = [((CYCLE, CYCLE), (0, ()))]
-            elif k == LINK and (up := (me[0], x)) in best:
+            elif k == LINK and (up := (me[0], x)) in best and up not in split:
                 cases = [(key, (s + t, p + q[1:])) for key, (t, q) in best[up].items()]
             else:
                 cases = [((k, x), (s, p))]
@@ -57,28 +64,38 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["forest", "node", "exit", "steps", "kind", "path"])
 
 
-def _contract(rows: DataFrame, fragment_nodes: int, level: int) -> DataFrame:
-    """One row per node that lies on or below no known circle and per exit (or one cycle row)."""
-    n = rows.select("forest", "node").distinct().count()
-    parts = parts_for(n, fragment_nodes)
+def _placed(rows: DataFrame, fragment_rows: int, level: int) -> DataFrame:
+    """Rows with their fragment (_g) and whether their node is spread over several (wide)."""
+    n = rows.count()
+    parts = parts_for(n, fragment_rows)
     if parts == 1:
-        grouped = rows.withColumn("_g", F.lit(0))
-    else:
-        # a node whose hash is odd follows its first parent if that one's hash is even: a quarter of all links is local, however many fragments there are
-        side = lambda c: F.pmod(F.xxhash64("forest", c, F.lit(level)), F.lit(2))
-        first = rows.groupBy("forest", "node").agg(F.min(F.when(F.col("kind") == LINK, F.col("exit"))).alias("_up"))
-        home = first.select("forest", "node", F.when((side("node") == 1) & F.col("_up").isNotNull() & (side("_up") == 0), F.col("_up")).otherwise(F.col("node")).alias("_h"))
-        grouped = rows.join(home, ["forest", "node"]).withColumn("_g", F.pmod(F.xxhash64("_h", F.lit(level)), F.lit(parts))).drop("_h")
-    return grouped.groupBy("_g").applyInPandas(_solve, _SCHEMA)
-
-
-def _resolve(rows: DataFrame, fragment_nodes: int, level: int = 0) -> DataFrame:
-    local = cut(_contract(rows, fragment_nodes, level))
+        return rows.withColumns({"_g": F.lit(0), "wide": F.lit(False)})
+    share = max(1, fragment_rows // 4)  # of a fragment, for one key
+    # a node whose hash is odd follows its first parent if that one's hash is even: a quarter of all links is local, however many fragments there are
+    side = lambda c: F.pmod(F.xxhash64("forest", c, F.lit(level)), F.lit(2))
+    first = rows.groupBy("forest", "node").agg(F.min(F.when(F.col("kind") == LINK, F.col("exit"))).alias("_up"), F.count("*").alias("_rows"))
+    follows = (side("node") == 1) & F.col("_up").isNotNull() & (side("_up") == 0)
+    home = first.select("forest", "node", F.col("_rows") > share, F.when(F.col("_rows") > share, F.ceil(F.col("_rows") / share)).otherwise(1).alias("_own"), F.when(follows & (F.col("_rows") <= share), F.col("_up")).otherwise(F.col("node")).alias("_h")).toDF("forest", "node", "wide", "_own", "_h")
+    hot = home.groupBy("forest", "_h").agg(F.ceil(F.count("*") / share).alias("_salts")).filter("_salts > 1")  # at most 4 per fragment
+    home = home.join(small(hot), ["forest", "_h"], "left")
+    salt = F.when(F.col("_h") == F.col("node"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node", F.lit(level)), F.coalesce("_salts", F.lit(1))))
+    placed = rows.join(home.withColumn("_salt", salt).drop("_salts"), ["forest", "node"])
+    salt = F.when(F.col("wide"), F.pmod(F.xxhash64("exit", "kind", F.lit(level)), F.col("_own"))).otherwise(F.col("_salt"))
+    return placed.withColumn("_g", F.pmod(F.xxhash64("_h", salt, F.lit(level)), F.lit(parts))).drop("_h", "_own", "_salt")
+
+
+def _contract(rows: DataFrame, fragment_rows: int, level: int) -> DataFrame:
+    """One row per node that lies on or below no known circle and per exit (or one cycle row)."""
+    return _placed(rows, fragment_rows, level).groupBy("_g").applyInPandas(_solve, _SCHEMA)
+
+
+def _resolve(rows: DataFrame, fragment_rows: int, level: int = 0) -> DataFrame:
+    local = cut(_contract(rows, fragment_rows, level))
     open_ = local.filter(F.col("kind") == LINK)
     entries = open_.select("forest", F.col("exit").alias("node")).distinct()
     if open_.isEmpty():
         return local
-    solved = _resolve(local.join(entries, ["forest", "node"], "left_semi"), fragment_nodes, level + 1)
+    solved = _resolve(local.join(entries, ["forest", "node"], "left_semi"), fragment_rows, level + 1)
     up = solved.select("forest", F.col("node").alias("exit"), F.col("exit").alias("_x"), F.col("steps").alias("_s"), F.col("kind").alias("_k"), F.col("path").alias("_p"))
     grown = open_.join(up, ["forest", "exit"]).select(
         "forest", "node", F.col("_x").alias("exit"), F.when(F.col("_k") == CYCLE, F.lit(0)).otherwise(F.col("steps") + F.col("_s")).cast("int").alias("steps"), F.col("_k").alias("kind"),
@@ -90,7 +107,7 @@ def _resolve(rows: DataFrame, fragment_nodes: int, level: int = 0) -> DataFrame:
     return cut(best.join(circles, ["forest", "node"], "left_anti").unionByName(best.filter(F.col("kind") == CYCLE)))
 
 
-def resolve_hierarchy(links: DataFrame, *, fragment_nodes: int = 200_000) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, *, fragment_rows: int = 200_000) -> DataFrame:
     """(forest, node, root, depth, path) from links (forest string, node string, parents array<string>).
 
     One row for each node and each root it descends from, with the fewest steps and the path from the node up to the
@@ -105,14 +122,15 @@ def resolve_hierarchy(links: DataFrame, *, fragment_nodes: int = 200_000) -> Dat
     real = pairs.join(nodes.withColumnRenamed("node", "exit"), ["forest", "exit"], "left_semi")
     up = real.select("forest", "node", "exit", F.lit(1).alias("steps"), F.lit(LINK).alias("kind"), F.array("node", "exit").alias("path"))
     tops = nodes.join(real, ["forest", "node"], "left_anti").select("forest", "node", F.col("node").alias("exit"), F.lit(0).alias("steps"), F.lit(ROOT).alias("kind"), F.array("node").alias("path"))
-    solved = _resolve(cut(up.unionByName(tops)), fragment_nodes)
+    solved = _resolve(cut(up.unionByName(tops)), fragment_rows)
     return solved.select("forest", "node", F.col("exit").alias("root"), F.when(F.col("kind") == CYCLE, F.lit(-1)).otherwise(F.col("steps")).cast("int").alias("depth"), "path")
 
 
 def descendants(links: DataFrame) -> DataFrame:
-    """(forest, node, descendants): how many different nodes lie below each node; nodes on or below circles are left out.
+    """(forest, node, descendant, depth): every node below each node with the fewest steps; nodes on or below circles take no part.
 
-    Counted from the closure upwards, after circles are removed. Input as for ``resolve_hierarchy``.
+    As many rows as there are pairs, formed by doubling distances. Input as for ``resolve_hierarchy``; a node without
+    descendants has no row.
     """
     good = resolve_hierarchy(links).filter("depth >= 0").select("forest", "node").distinct()
     edges = (
@@ -120,6 +138,4 @@ def descendants(links: DataFrame) -> DataFrame:
         .join(good, ["forest", "node"], "left_semi").join(good.withColumnRenamed("node", "up"), ["forest", "up"], "left_semi")
     )
     pairs = closure(edges.select(F.struct("forest", "node").alias("node"), F.struct("forest", F.col("up").alias("node")).alias("up")), reflexive=False)
-    n = pairs.groupBy("above.forest", "above.node").agg(F.count("*").alias("descendants"))
-    return good.join(n, ["forest", "node"], "left").select("forest", "node", F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"))
-
+    return pairs.select("above.forest", "above.node", F.col("node.node").alias("descendant"), F.col("depth").cast("int").alias("depth"))

@@ -94,7 +94,12 @@ UNION ALL SELECT least(b.id, q.id), greatest(b.id, q.id) FROM (SELECT * FROM p W
 bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up),
 good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad), w AS (SELECT forest, node, node AS top, 0 AS depth FROM good UNION SELECT w.forest, w.node, e.up, w.depth + 1 FROM w JOIN e ON e.forest = w.forest AND e.node = w.top)
 SELECT w.forest, w.node, w.top AS root, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.forest = w.forest AND e.node = w.top) GROUP BY 1, 2, 3 UNION ALL SELECT forest, node, 'cycle', -1 FROM bad""",
+    "p5_paths": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT forest, node, up FROM e UNION SELECT r.forest, r.node, e.up FROM reach r JOIN e ON e.forest = r.forest AND e.node = r.up),
+bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up),
+good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad), w AS (SELECT forest, node, node AS top, [node] AS path FROM good UNION SELECT w.forest, w.node, e.up, list_append(w.path, e.up) FROM w JOIN e ON e.forest = w.forest AND e.node = w.top)
+SELECT forest, node, top AS root, CAST(min(len(path)) - 1 AS INTEGER) AS depth, array_to_string(arg_min(path, (len(path), path)), '/') AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.forest = w.forest AND e.node = w.top) GROUP BY 1, 2, 3 UNION ALL SELECT forest, node, 'cycle', -1, '' FROM bad""",
     "p5_descendants": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT forest, node, up FROM e UNION SELECT r.forest, r.node, e.up FROM reach r JOIN e ON e.forest = r.forest AND e.node = r.up),
-bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up), good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad)
-SELECT g.forest, g.node, count(DISTINCT r.node) AS descendants FROM good g LEFT JOIN (SELECT r.* FROM reach r JOIN good x ON x.forest = r.forest AND x.node = r.node) r ON r.forest = g.forest AND r.up = g.node GROUP BY 1, 2""",
+bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up), good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad),
+w AS (SELECT forest, node AS descendant, up AS node, 1 AS depth FROM e SEMI JOIN good USING (forest, node) UNION SELECT w.forest, w.descendant, e.up, w.depth + 1 FROM w JOIN e ON e.forest = w.forest AND e.node = w.node)
+SELECT forest, node, descendant, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY ALL""",
 }
