@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from almagest.operators.asof import as_of_join
+from almagest.operators.asof import _shards, as_of_join
 
 EV, VE = "view_id bigint, canonical_id string, at bigint, source_revision string", "canonical_id string, known bigint, source_revision bigint, _id string"
 
@@ -31,6 +32,17 @@ def test_hot_entity_ties_and_nulls(spark, shard):
     assert run(spark, events, versions, shard_rows=shard) == brute(events, versions)
 
 
+def test_bursts_are_split(spark):
+    """All events of an entity in 20 ms of 63 years, a third of them at one instant."""
+    far = 63 * 365 * 86_400_000_000
+    events = [(i, "hot", far // 2 + (7 if i % 3 else i % 20), "x") for i in range(3000)]
+    versions = [("hot", t, r, None) for r, t in enumerate([0, far // 2 - 1, far // 2 + 7, far // 2 + 7, far // 2 + 12, far])]
+    assert run(spark, events, versions, shard_rows=200) == brute(events, versions)
+    rows = spark.createDataFrame([(i, "hot", t, None, True, i) for i, _, t, _ in events] + [(None, "hot", t, r, False, r) for _, t, r, _ in versions], "_id bigint, _e string, _t bigint, _r bigint, _event boolean, _k bigint")
+    sizes = _shards(rows, 200).groupBy("_s").count()
+    assert sizes.count() > 10 and sizes.agg(F.max("count")).first()[0] < 500
+
+
 def test_empty(spark):
     assert run(spark, [], [("a", 1, 1, None)]) == []
     assert run(spark, [(1, "a", 5, None)], []) == []
