@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Zone abbreviations and their offsets in minutes.
 ABBREVIATIONS = {"UTC": 0, "GMT": 0, "Z": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180, "IST": 330, "JST": 540, "KST": 540,
                  "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+#: Lookup of the zones of calendars by name: an offset or a named zone; null has an entry of its own. Any ``gregorian+hh:mm`` or ``gregorian[Area/City]`` tells its zone itself.
+ZONES: dict[str | None, str] = {None: "+09:00", "gregorian": "+00:00"}
 # Month names by their first letters, English and German.
 MONTHS = [("jan", 1), ("feb", 2), ("mar|mär|mrz", 3), ("apr", 4), ("may|mai", 5), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("o[ck]t", 10), ("nov", 11), ("de[cz]", 12)]
 # The year before the first of each era.
@@ -60,13 +62,20 @@ def _num(c: Column) -> Column:
     return F.when(c == "", F.lit(0)).otherwise(c.try_cast("int"))
 
 
-def with_utc_micros(df: DataFrame, text: str, calendar: str, out: str) -> DataFrame:
+def _cascade(day_first: bool) -> list[tuple[str, str]]:
+    """CASCADE, with the first of two figures before a year after slashes as the day instead of the month."""
+    swap = {"$3-$1-$2": "$3-$2-$1"}
+    return [(p, to.replace("$3-$1-$2", swap["$3-$1-$2"]) if day_first and "/(\\d{1,2})/" in p else to) for p, to in CASCADE]
+
+
+def with_utc_micros(df: DataFrame, text: str, calendar: str, out: str, *, zones: dict[str | None, str] | None = None, day_first: bool = False) -> DataFrame:
     """``df`` with ``out``: microseconds since 1970-01-01T00:00Z of the texts that name one day or a more precise moment, else null.
 
-    ``calendar`` gives the zone of texts without one: null is UTC+9, ``gregorian`` UTC, ``gregorian+hh:mm`` that
+    ``calendar`` gives the zone of texts without one, by the lookup ``zones`` (``ZONES``), ``gregorian+hh:mm`` that
     offset, ``gregorian[Area/City]`` the civil time there; in any other calendar only texts with their own zone are
-    read. A day means its first moment; digits finer than microseconds are cut off. Null, empty and very long texts,
-    years, months, intervals and days that do not exist give null. Hours of 24 to 47 count on into the next day. No row is added, lost or reordered.
+    read. ``day_first`` reads 3/4/2020 as the third of April. A day means its first moment; digits finer than
+    microseconds are cut off. Texts may be of any length, blanks in them too; null and empty ones, years, months,
+    intervals and days that do not exist give null. Hours of 24 to 47 count on into the next day. No row is added, lost or reordered.
     """
     names = df.columns
 
@@ -77,9 +86,9 @@ def with_utc_micros(df: DataFrame, text: str, calendar: str, out: str) -> DataFr
     m = lambda k: F.col(f"_m_{k}")
     # fullwidth forms (fixed values) to ASCII
     s = F.trim(F.translate(F.col(f"`{text}`"), "０１２３４５６７８９：／－．，＋　", "0123456789:/-.,+ "))
-    d = stage(df, s=F.when(F.length(s) <= 80, F.regexp_replace(s, r"\s+", " ")))
+    d = stage(df, s=F.regexp_replace(s, r"\s+", " "))
     c = F.lit(None).cast("string")
-    for pattern, to in reversed(CASCADE):
+    for pattern, to in reversed(_cascade(day_first)):
         c = F.when(m("s").rlike("(?i)" + pattern), F.regexp_replace(m("s"), "(?i)" + pattern, to)).otherwise(c)
     d = stage(d, c=c, n=F.regexp_replace(m("s"), r"^/Date\((-?\d{10,16})([+-]\d{4})?\)/$", "$1ms"))
     one = "\u0001"
@@ -99,12 +108,16 @@ def with_utc_micros(df: DataFrame, text: str, calendar: str, out: str) -> DataFr
     month = mo.try_cast("int")
     for start, n in MONTHS:
         month = F.when(mo.rlike(f"(?i)^({start})"), n).otherwise(month)
+    cal = F.col(f"`{calendar}`")
+    cal_zone = F.regexp_extract(cal, r"^gregorian(?:\[(?=.+\]$))?([^\]]+)\]?$", 1)
+    for name, at in (ZONES if zones is None else zones).items():
+        cal_zone = F.when(cal.isNull() if name is None else cal == name, F.lit(at)).otherwise(cal_zone)
     own = F.regexp_replace(zone, r"^\[(.+)\]$", "$1")
     d = stage(
         d,
         epoch=F.when(m("scale") == 0, F.floor(digits / 1000).cast("bigint")).when(m("scale") == 1_000_000, digits * 1_000_000 + frac).when(m("scale").isNotNull(), digits * m("scale")),
         year=F.when((era != "") | (F.length(y) == 4), F.when(year.between(1, 9998), year)), month=month, mo=mo, day=day.try_cast("int"), nod=day == "", hour=_num(h), minute=_num(mi), second=_num(sec),
-        frac=F.coalesce(F.rpad(F.substring(fr, 1, 6), 6, "0").try_cast("bigint"), F.lit(0)), half=F.regexp_replace(F.lower(half), r"\.", ""), own=own,
+        frac=F.coalesce(F.rpad(F.substring(fr, 1, 6), 6, "0").try_cast("bigint"), F.lit(0)), half=F.regexp_replace(F.lower(half), r"\.", ""), own=own, cz=cal_zone,
     )
     leap = ((m("year") % 4 == 0) & (m("year") % 100 != 0)) | (m("year") % 400 == 0)
     length = F.when(m("month") == 2, F.when(leap, 29).otherwise(28)).when(m("month").isin(4, 6, 9, 11), 30).when(m("month").between(1, 12), 31)
@@ -118,8 +131,6 @@ def with_utc_micros(df: DataFrame, text: str, calendar: str, out: str) -> DataFr
     fits = F.when(half_ == "", hour.between(0, 47)).when(half_.isin("am", "pm"), hour.between(1, 12)).otherwise(hour.between(0, 12))
     fits = fits & m("minute").between(0, 59) & m("second").between(0, 59)
     hour = F.when(half_.isin("am", "午前"), hour % 12).when(half_.isin("pm", "午後"), hour % 12 + 12).otherwise(hour)
-    cal = F.col(f"`{calendar}`")
-    cal_fixed = F.when(cal.isNull(), F.lit(9 * 3_600_000_000)).when(cal == "gregorian", F.lit(0)).otherwise(_offset(F.regexp_extract(cal, r"^gregorian([+-].*)$", 1)))
     abbr = F.lit(None).cast("bigint")
     for name, minutes in ABBREVIATIONS.items():
         abbr = F.when(F.upper(m("own")) == name, F.lit(minutes * 60_000_000)).otherwise(abbr)
@@ -127,8 +138,8 @@ def with_utc_micros(df: DataFrame, text: str, calendar: str, out: str) -> DataFr
         d,
         date=F.when(m("mo").startswith("W"), F.when(F.weekofyear(by_week) == week, by_week)).when(m("nod"), by_nth).otherwise(by_day), fits=fits,
         clock=(hour * 3600 + m("minute") * 60 + m("second")).cast("bigint") * 1_000_000 + m("frac"),
-        offset=F.when(m("own") == "", cal_fixed).otherwise(F.coalesce(_offset(m("own")), abbr)),
-        region=F.when(m("own") == "", F.regexp_extract(cal, r"^gregorian\[(.+)\]$", 1)).otherwise(m("own")),
+        offset=F.when(m("own") == "", _offset(m("cz"))).otherwise(F.coalesce(_offset(m("own")), abbr)),
+        region=F.when(m("own") == "", m("cz")).otherwise(m("own")),
     )
     d = stage(d, local=F.when(m("fits"), F.unix_date(m("date")).cast("bigint") * 86_400_000_000 + m("clock")), zone=F.when(m("offset").isNull() & m("region").isin(_ZONES), m("region")))
     # a zone's own rules: gaps and overlaps take the offset before the change

@@ -34,6 +34,16 @@ def test_no_moment(read):
     assert read["2020-01-05", "aldmere"] is None and read["2020-01-05", "gregorian[Nowhere/City]"] is None
 
 
+def test_long_texts_zones_and_order(spark):
+    long = "2020-01-05" + " " * 100_000 + "10:00:00" + "\t" * 500 + "UTC"
+    rows = [(1, long, None), (2, "3/4/2020", "gregorian"), (3, "2020-01-05 00:00", None), (4, "2020-07-05 00:00", "house"), (5, "April 3, 2020", "gregorian")]
+    df = spark.createDataFrame(rows, "k int, t string, c string")
+    at = lambda **kw: {r.k: datetime.fromtimestamp(r.u / 1e6, timezone.utc).isoformat()[:16] for r in with_utc_micros(df, "t", "c", "u", **kw).filter("u is not null").collect()}
+    assert at() == {1: "2020-01-05T10:00", 2: "2020-03-04T00:00", 3: "2020-01-04T15:00", 5: "2020-04-03T00:00"}
+    assert at(zones={None: "-05:00", "house": "Europe/Berlin", "gregorian": "Z"}, day_first=True) == {1: "2020-01-05T10:00", 3: "2020-01-05T05:00", 4: "2020-07-04T22:00"}
+    assert at(day_first=True)[2] == "2020-04-03T00:00"
+
+
 def test_moments_keeps_clashing_names(spark):
     df = spark.createDataFrame([(1, "2020-01-01", None, "gregorian", "x"), (1, "2020-01-01", None, "gregorian", "x")], "doc_id bigint, published string, acquired_at string, calendar string, text string")
     assert [(r.record_id, r.field, r.utc_ms) for r in moments(df, "doc_id", ["published", "acquired_at"]).collect()] == [("1", "published", 1577836800000)]
