@@ -54,6 +54,7 @@ UNITS: dict[str, dict[str, tuple[float, float, str]]] = {
 SPACED = {"area": {"sq km": "km2", "square kilometres": "km2", "square kilometers": "km2", "sq mi": "[mi_i]2", "square miles": "[mi_i]2", "sq m": "m2"}, "temperature": {"deg c": "Cel", "deg f": "[degF]", "degrees celsius": "Cel", "degrees fahrenheit": "[degF]"}, "length": {"nautical miles": "[nmi_i]"}, "speed": {"miles per hour": "[mi_i]/h"}}
 TOPICS = {"height": "height heights elevation elevations", "distance": "distance distances", "temperature": "temperature temperatures temp temps", "pressure": "pressure pressures", "wind_speed": "wind winds windspeed windspeeds windspeed", "population": "population populations inhabitants",
           "likes": "likes", "mass": "mass masses weight weights load loads", "duration": "duration durations runningtime runningtimes runtime", "area": "area areas", "rainfall": "rainfall rain precipitation", "*count": "count counts"}
+UNKNOWN = "?"  # told, but by a name that is none of the metric's quantity
 _NUMBER = re.compile(r"[-+−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?|[-+−]?\.\d+")
 
 
@@ -95,7 +96,8 @@ def read_text(text: str, quantity: str, with_figure: bool) -> tuple[float | None
     """(figure, unit code) told by a text; with_figure False: the figure stands elsewhere and the last unit named counts.
 
     A figure belongs to the unit right after it, else to one right before it. Several figures with units of one
-    quantity (1 h 15 min) are summed in the unit of the first.
+    quantity (1 h 15 min) are summed in the unit of the first. A word right after the figure that is no unit of the
+    quantity makes the unit unknown where no other is told.
     """
     t = fold(text)
     hits = finds(t, quantity)
@@ -117,7 +119,7 @@ def read_text(text: str, quantity: str, with_figure: bool) -> tuple[float | None
     first, unit = told[0]
     if unit is None:
         before = [code for a, _, code in hits if a < numbers[0][0]]
-        return first, before[-1] if before else None
+        return first, before[-1] if before else UNKNOWN if re.match(r"\s*[^\W\d_]", t[numbers[0][1] :]) else None
     scale = UNITS[quantity][unit][0]
     for x, code in told[1:]:
         if code is None or UNITS[quantity][code][1] or UNITS[quantity][unit][1] or quantity == "count":
@@ -156,8 +158,8 @@ def _read_names(metric: str | None, unit: str | None, quantities: tuple[tuple[st
     q = by_metric.get(key)
     if q not in UNITS:
         return None, None, None
-    own = finds(fold(unit), q) if unit and unit.strip() else []
-    return key, own[-1][2] if own else None, told
+    own = finds(fold(unit), q) if unit and unit.strip() else None
+    return key, None if own is None else own[-1][2] if own else UNKNOWN, told
 
 
 def read_note(note: str, quantities: dict[str, str]) -> dict[str, str]:
@@ -185,8 +187,9 @@ def to_common_units(observations: DataFrame, metric_units: DataFrame, sources: D
     The figure is ``value``, or where that is null the one in ``value_text``. The unit is the one told by ``unit``,
     else by ``value_text``, else by the metric's name, else by the note of the source; with none told it is the common
     one. ``recorded_otherwise`` tells whether it differs from the common unit in size or zero. Repeated rows count
-    once. Null ids, unknown metrics and rows without a figure have no row; names of units that are not known to the
-    metric's quantity count as not told. Empty tables give an empty result.
+    once. Null ids, unknown metrics and rows without a figure have no row; a figure told in a unit that is not known to
+    the metric's quantity is left as it is: unit, common_value and recorded_otherwise are null. Empty tables give an
+    empty result.
     """
     spark = observations.sparkSession
     known = metric_units.limit(10_001).collect()  # one row per metric, a fixed table: its bound is checked
@@ -207,7 +210,7 @@ def to_common_units(observations: DataFrame, metric_units: DataFrame, sources: D
             if t is not None and q in UNITS and (figure is None or own is None):
                 x, in_text = read_text(t, q, figure is None)
                 figure = x if figure is None else figure
-            rows.append((key, own or in_text or told, figure))
+            rows.append((key, own or (told or in_text if in_text == UNKNOWN else in_text or told), figure))
         return pd.DataFrame(rows, columns=["metric", "unit", "figure"])
 
     def notes(batches):  # noqa: ANN001, ANN202
@@ -225,7 +228,7 @@ def to_common_units(observations: DataFrame, metric_units: DataFrame, sources: D
         observations.select("obs_id", "source", read("metric", "unit", F.col("value").cast("double"), "value_text").alias("r")).select("obs_id", "source", "r.*")
         .filter("obs_id is not null and metric is not null and figure is not null")
     )
-    rows = rows.join(small(by_note), ["source", "metric"], "left").join(F.broadcast(common), "metric").withColumn("unit", F.coalesce("unit", "by_note", "common_unit")).join(factors, ["quantity", "unit"])
+    rows = rows.join(small(by_note), ["source", "metric"], "left").join(F.broadcast(common), "metric").withColumn("unit", F.coalesce("unit", "by_note", "common_unit")).join(factors, ["quantity", "unit"], "left").withColumn("unit", F.when(F.col("unit") != UNKNOWN, F.col("unit")))
     value = (F.col("figure") * F.col("factor") + F.col("shift") - F.col("_cs")) / F.col("_cf")
     differs = (F.abs(F.col("factor") / F.col("_cf") - 1) > 1e-12) | (F.abs(F.col("shift") - F.col("_cs")) > 1e-9)
     return rows.select("obs_id", "metric", "unit", "figure", "common_unit", value.alias("common_value"), differs.alias("recorded_otherwise")).distinct()

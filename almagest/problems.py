@@ -26,9 +26,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_metric_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per metric: observations with a figure, those recorded in another unit, and the range of the common values."""
+    """Per metric: observations with a figure, those in an unknown unit, those recorded in another unit, and the range of the common values."""
     v = F.round("common_value", 4)
-    return common_units(spark, d).groupBy("metric", "common_unit").agg(F.count("*").alias("n"), F.sum(F.col("recorded_otherwise").cast("bigint")).alias("n_converted"), F.min(v).alias("least"), F.max(v).alias("greatest"))
+    return common_units(spark, d).groupBy("metric", "common_unit").agg(F.count("*").alias("n"), F.count_if(F.col("common_value").isNull()).alias("n_unknown"), F.sum(F.col("recorded_otherwise").cast("bigint")).alias("n_converted"), F.min(v).alias("least"), F.max(v).alias("greatest"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("view_id", "canonical_id", "source_revision")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_metric_report, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p7_found)}
+def p7_as_known(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p7_found``, for the requests that name their moment themselves."""
+    facts = load(spark, d, "resource_facts").select("canonical_id", "source_revision", F.unix_micros("known_from").alias("known_us"))
+    own = load(spark, d, "view_requests").select("view_id", "canonical_id", F.unix_micros("as_known_at").alias("at"))
+    return as_of_join(own, facts, entity="canonical_id", event_id="view_id", event_time="at", version_time="known_us", version_rank="source_revision").select("view_id", "canonical_id", "source_revision")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_metric_report, p3_found, p4_found, p5_found, p5_paths, p5_descendants, p7_found, p7_as_known)}
 
 _LINKS = """links AS (SELECT DISTINCT * FROM (SELECT 'branches' AS forest, branch_id AS node, parent AS up FROM branches UNION ALL SELECT 'type_defs', type_key, unnest(parents) FROM type_defs UNION ALL SELECT 'gazetteer', place_id, unnest(parents) FROM gazetteer)),
 nodes AS (SELECT DISTINCT forest, node FROM (SELECT 'branches' AS forest, branch_id AS node FROM branches UNION ALL SELECT 'type_defs', type_key FROM type_defs UNION ALL SELECT 'gazetteer', place_id FROM gazetteer)),
@@ -102,4 +109,6 @@ SELECT forest, node, top AS root, CAST(min(len(path)) - 1 AS INTEGER) AS depth,
 bad AS (SELECT DISTINCT forest, node FROM reach WHERE node = up UNION SELECT r.forest, r.node FROM reach r JOIN reach c ON c.forest = r.forest AND c.node = r.up AND c.node = c.up), good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad),
 w AS (SELECT forest, node AS descendant, up AS node, 1 AS depth FROM e SEMI JOIN good USING (forest, node) UNION SELECT w.forest, w.descendant, e.up, w.depth + 1 FROM w JOIN e ON e.forest = w.forest AND e.node = w.node)
 SELECT forest, node, descendant, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY ALL""",
+    "p7_as_known": """WITH v AS (SELECT DISTINCT view_id, canonical_id, as_known_at FROM view_requests WHERE view_id IS NOT NULL AND as_known_at IS NOT NULL), f AS (SELECT canonical_id, known_from, max(source_revision) AS source_revision FROM resource_facts WHERE known_from IS NOT NULL GROUP BY 1, 2)
+SELECT v.view_id, v.canonical_id, f.source_revision FROM v ASOF JOIN f ON v.canonical_id = f.canonical_id AND v.as_known_at >= f.known_from""",
 }

@@ -7,7 +7,7 @@ Q = {"height": "length", "distance": "length", "temperature": "temperature", "wi
 
 @pytest.mark.parametrize(("text", "quantity", "want"), [
     ("42' 6\"", "length", (42.5, "[ft_i]")), ("1 h 15 min", "time", (1.25, "h")), ("1時間3分", "time", (1.05, "h")), ("華氏63.4度", "temperature", (63.4, "[degF]")), ("時速44.76km", "speed", (44.76, "km/h")), ("約18.1万人", "count", (18.1, "10*4")), ("約27,143[in_i]", "length", (27143.0, "[in_i]")),
-    ("－１８.５ ℃", "temperature", (-18.5, "Cel")), ("read as 44.6 m.s-1", "speed", (44.6, "m/s")), ("3,860 likes", "count", (3860.0, "1")), ("5 10*3", "count", (5.0, "10*3")), ("about 7", "length", (7.0, None)), ("no figure", "length", (None, None)), ("", "length", (None, None)),
+    ("－１８.５ ℃", "temperature", (-18.5, "Cel")), ("read as 44.6 m.s-1", "speed", (44.6, "m/s")), ("3,860 likes", "count", (3860.0, "1")), ("5 10*3", "count", (5.0, "10*3")), ("about 7", "length", (7.0, None)), ("12 furlongs", "length", (12.0, "?")), ("no figure", "length", (None, None)), ("", "length", (None, None)),
 ])
 def test_read_text(text, quantity, want):
     got = read_text(text, quantity, True)
@@ -22,10 +22,10 @@ def test_names_and_notes():
 
 def test_order_of_telling(spark):
     obs = [("a", "height", 100.0, None, "cm", "s", 1), ("b", "height", 10.0, None, None, "s", 1), ("c", "height", 10.0, "unit: km", " ", "s", 1), ("d", "height_ft", 10.0, None, None, None, 1), ("e", "height", None, None, "m", "s", 1), ("f", "height", 10.0, None, "m", "s", 1), ("g", "mood", 1.0, None, "m", "s", 1), ("a", "height", 100.0, None, "cm", "s", 1),
-           (None, "height", 1.0, None, "cm", "s", 1), ("h", None, 1.0, None, "cm", "s", 1), ("i", "height", None, "x" * 50_000 + " 3 km", None, "t", 1), ("j", "height", 0.0, None, "idx", "t", 1)]
+           (None, "height", 1.0, None, "cm", "s", 1), ("h", None, 1.0, None, "cm", "s", 1), ("i", "height", None, "x" * 50_000 + " 3 km", None, "t", 1), ("j", "height", 0.0, None, "idx", "t", 1), ("k", "height", None, "12 furlongs", None, "s", 1), ("l", "height_ft", None, "12 furlongs", None, "s", 1), ("m", "height", 1.0, None, "kg", "s", 1)]
     df = spark.createDataFrame(obs, "obs_id string, metric string, value double, value_text string, unit string, source string, factor int")
     units = spark.createDataFrame([("height", "length", "m"), ("height", "length", "m")], "metric string, quantity string, common_unit string")
     src = spark.createDataFrame([("s", "heights in feet"), ("s", "heights in feet"), ("t", None), (None, "heights in miles")], "source string, note string")
-    got = {r.obs_id: (r.unit, round(r.common_value, 4), r.recorded_otherwise) for r in to_common_units(df, units, src).collect()}
-    assert got == {"a": ("cm", 1.0, True), "b": ("[ft_i]", 3.048, True), "c": ("km", 10000.0, True), "d": ("[ft_i]", 3.048, True), "f": ("m", 10.0, False), "i": ("km", 3000.0, True), "j": ("m", 0.0, False)}
+    got = {r.obs_id: (r.unit, r.common_value if r.common_value is None else round(r.common_value, 4), r.recorded_otherwise) for r in to_common_units(df, units, src).collect()}
+    assert got == {"a": ("cm", 1.0, True), "b": ("[ft_i]", 3.048, True), "c": ("km", 10000.0, True), "d": ("[ft_i]", 3.048, True), "f": ("m", 10.0, False), "i": ("km", 3000.0, True), "j": (None, None, None), "k": (None, None, None), "l": ("[ft_i]", 3.6576, True), "m": (None, None, None)}
     assert to_common_units(df.filter("false"), units, src).count() == 0
