@@ -77,7 +77,7 @@ _CANON = f"CASE WHEN regexp_full_match({_BARE}, '[0-9a-f]{{{{32}}}}') THEN 'res_
 
 
 @query(f"""WITH RECURSIVE m AS (SELECT {_CANON.format(c='from_id')} AS id, {_CANON.format(c='into_id')} AS nxt, requested_at, merge_id FROM (SELECT DISTINCT from_id, into_id, requested_at, merge_id FROM merges) WHERE from_id IS NOT NULL AND into_id IS NOT NULL),
-one AS (SELECT id, nxt FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY requested_at, merge_id) rn FROM m WHERE id > nxt) WHERE rn = 1),
+one AS (SELECT id, nxt FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY requested_at NULLS FIRST, merge_id NULLS FIRST, nxt) rn FROM m WHERE id <> nxt) WHERE rn = 1),
 walk AS (SELECT id, nxt, 1 AS k FROM one UNION ALL SELECT w.id, o.nxt, k + 1 FROM walk w JOIN one o ON o.id = w.nxt WHERE k < 16)
 SELECT id, arg_max(nxt, k) AS final_id FROM walk GROUP BY id""")
 def lookup_redirect(s: SparkSession, d: str) -> DataFrame:
@@ -107,17 +107,17 @@ def search_bbox(s: SparkSession, d: str) -> DataFrame:
     return search.Search(bbox=(-10.0, 10.0, 60.0, 60.0), limit=100).run(_proj(s, d)).select("canonical_id", "score")
 
 
-_HAV = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(35.0 - y) / 2), 2) + cos(radians(y)) * cos(radians(35.0)) * pow(sin(radians(139.0 - x) / 2), 2))))"
+_HAV = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(45.0 - y) / 2), 2) + cos(radians(y)) * cos(radians(45.0)) * pow(sin(radians(100.0 - x) / 2), 2))))"
 
 
-@query(f"SELECT canonical_id, round(coalesce(rank, 0), 6) AS score FROM (SELECT *, (placement.minx + placement.maxx) / 2 AS x, (placement.miny + placement.maxy) / 2 AS y FROM {_PROJ}) WHERE placement.frame = 'wgs84' AND {_HAV} <= 3000000 AND placement_inherited_from IS NULL ORDER BY score DESC, canonical_id LIMIT 100")
+@query(f"SELECT canonical_id, round(coalesce(rank, 0), 6) AS score FROM (SELECT *, (placement.minx + placement.maxx) / 2 AS x, (placement.miny + placement.maxy) / 2 AS y FROM {_PROJ}) WHERE placement.frame = 'wgs84' AND {_HAV} <= 2000000 AND placement_inherited_from IS NULL ORDER BY score DESC, canonical_id LIMIT 100")
 def search_near(s: SparkSession, d: str) -> DataFrame:
-    return search.Search(near=(139.0, 35.0, 3_000_000.0), limit=100).run(_proj(s, d)).select("canonical_id", "score")
+    return search.Search(near=(100.0, 45.0, 2_000_000.0), limit=100).run(_proj(s, d)).select("canonical_id", "score")
 
 
-@query(f"SELECT canonical_id, round(0.1 * coalesce(rank, 0) + CASE WHEN {norm_sql('label')} = 'the winter' THEN 1.0 WHEN starts_with({norm_sql('label')}, 'the winter') THEN 0.3 ELSE 0 END, 6) AS score FROM {_PROJ} WHERE list_contains(regexp_extract_all({norm_sql('label')}, '[a-z0-9]+'), 'the') AND list_contains(regexp_extract_all({norm_sql('label')}, '[a-z0-9]+'), 'winter') ORDER BY score DESC, canonical_id LIMIT 50")
+@query(f"SELECT canonical_id, round(0.1 * coalesce(rank, 0) + CASE WHEN {norm_sql('label')} = 'flood of' THEN 1.0 WHEN starts_with({norm_sql('label')}, 'flood of') THEN 0.3 ELSE 0 END, 6) AS score FROM {_PROJ} WHERE list_contains(regexp_extract_all({norm_sql('label')}, '[a-z0-9]+'), 'flood') AND list_contains(regexp_extract_all({norm_sql('label')}, '[a-z0-9]+'), 'of') ORDER BY score DESC, canonical_id LIMIT 50")
 def search_text_tokens(s: SparkSession, d: str) -> DataFrame:
-    return search.Search(text="The  Winter", order_by="relevance", limit=50).run(_proj(s, d)).select("canonical_id", "score")
+    return search.Search(text="Flood  Of", order_by="relevance", limit=50).run(_proj(s, d)).select("canonical_id", "score")
 
 
 @query(f"SELECT canonical_id, round(coalesce(rank, 0), 6) AS score FROM {_PROJ} WHERE contested ORDER BY score DESC, canonical_id LIMIT 500")
@@ -130,29 +130,55 @@ def projection_as_known(s: SparkSession, d: str) -> DataFrame:
     return search.latest_states(load(s, d, "resource_facts"), as_known_at_us=KNOWN_AT).select("canonical_id", "known_from", "source_revision")
 
 
-_TARGET = f"(SELECT min(canonical_id) FROM {_PROJ} WHERE len(place_ancestors) > 0)"
+def _hundredth(c: F.Column | str) -> F.Column:
+    """Text ids whose last eight hexadecimal digits are a number divisible by 100: the queries of searches from a row."""
+    return F.conv(F.right(c, F.lit(8)), 16, 10).cast("bigint") % 100 == 0
 
 
-@query(f"""WITH p AS (SELECT canonical_id, list_distinct(coalesce(place_ancestors, [])) AS pa, list_distinct(coalesce(types, [])) AS ty, coalesce(rank, 0) AS rank FROM {_PROJ}), t AS (SELECT pa AS tpa, ty AS tty FROM p WHERE canonical_id = {_TARGET})
-SELECT canonical_id, round(0.4 * CASE WHEN len(pa) + len(tpa) = 0 THEN 0 ELSE len(list_intersect(pa, tpa)) / len(list_distinct(list_concat(pa, tpa))) END + 0.3 * len(list_intersect(ty, tty)) / len(list_distinct(list_concat(ty, tty))) + 0.3 * least(1.0, rank / 5), 6) AS score
-FROM p, t WHERE canonical_id <> {_TARGET} AND (list_has_any(pa, tpa) OR list_has_any(ty, tty)) ORDER BY score DESC, canonical_id LIMIT 10""")
+_HUNDREDTH = "regexp_matches({c}, '[0-9a-f]{{8}}$') AND TRY_CAST('0x' || right({c}, 8) AS BIGINT) % 100 = 0"
+
+
+@query(f"""WITH p AS (SELECT canonical_id, list_distinct(coalesce(place_ancestors, [])) AS pa, list_distinct(coalesce(types, [])) AS ty, coalesce(rank, 0) AS rank FROM {_PROJ}), t AS (SELECT canonical_id AS target, pa AS tpa, ty AS tty FROM p WHERE {_HUNDREDTH.format(c="canonical_id")}),
+x AS (SELECT target, canonical_id, round(0.4 * CASE WHEN len(pa) + len(tpa) = 0 THEN 0 ELSE len(list_intersect(pa, tpa)) / len(list_distinct(list_concat(pa, tpa))) END + 0.3 * len(list_intersect(ty, tty)) / len(list_distinct(list_concat(ty, tty))) + 0.3 * least(1.0, rank / 5), 6) AS score
+FROM p, t WHERE canonical_id <> target AND (list_has_any(pa, tpa) OR list_has_any(ty, tty)))
+SELECT target, canonical_id, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, canonical_id) AS r FROM x) WHERE r <= 10""")
 def similar_features(s: SparkSession, d: str) -> DataFrame:
     p = _proj(s, d)
-    target = p.filter(F.size("place_ancestors") > 0).agg(F.min("canonical_id").alias("i")).first()["i"]
-    return search.similar(p, target or "")
+    return search.similar_each(p, p.filter(_hundredth(F.col("canonical_id"))))
 
 
 # ---- claims
 
-_EVAL = f"""(WITH c AS (SELECT *, {OKEY} AS okey, coalesce(note, claim_id) AS root FROM {CLAIMS} WHERE status IN ('accepted', 'proposed', 'disputed')),
-n AS (SELECT subject, predicate, okey, negated, count(DISTINCT root) AS independent FROM c GROUP BY ALL)
-SELECT c.*, independent, CASE WHEN independent >= 2 THEN 3 ELSE 1 END AS tier,
-CASE WHEN independent >= 2 THEN 3 ELSE 1 END + least(0.999999, (0.35 * least(1.0, greatest(0.0, coalesce(source_reliability, 0.4))) + coalesce(0.2 * least(1.0, greatest(0.0, extraction_conf)), 0) + 0.3 * least(1.0, (independent - 1) / 3.0)) / (0.65 + CASE WHEN extraction_conf IS NULL THEN 0 ELSE 0.2 END) * CASE status WHEN 'accepted' THEN 1.0 WHEN 'proposed' THEN 0.8 ELSE 0.5 END) AS rank
-FROM c JOIN n USING (subject, predicate, okey, negated))"""
+# heights rest on the observations of the same thing: their sources are the evidence
+_EVIDENCE = f"(SELECT DISTINCT claim_id, o.source AS root, s.origin, s.reliability, s.origin = 'ai_generated' AS ai FROM {CLAIMS} a JOIN (SELECT DISTINCT target, source FROM observations WHERE metric = 'height') o ON a.subject = o.target JOIN (SELECT DISTINCT source, origin, reliability FROM sources) s ON s.source = o.source WHERE predicate = 'height')"
+_WHEN = "CASE WHEN object.kind <> 'time' THEN NULL WHEN regexp_matches(object.moment, '(\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2}|\\d年\\d{1,2}月\\d{1,2}日).*\\d{1,2}(:\\d{2}|時)') THEN 1.0 WHEN regexp_matches(object.moment, '\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2}|\\d年\\d{1,2}月\\d{1,2}日') THEN 0.85 WHEN regexp_matches(object.moment, '\\d{4}-\\d{2}$|\\d年\\d{1,2}月$') THEN 0.6 WHEN regexp_matches(object.moment, '^\\d{3,4}$|\\d年$') THEN 0.4 END"
+_clip = lambda x: f"least(1.0, greatest(0.0, {x}))"
+_EVAL = f"""(WITH ev AS {_EVIDENCE}, per AS (SELECT claim_id, list(DISTINCT root) AS roots, arg_min(origin, list_position(['primary', 'secondary', 'tertiary', 'user_generated', 'ai_generated'], origin)) AS origin, max(reliability) AS rel, bool_and(ai) AS ai FROM ev GROUP BY 1),
+c AS (SELECT a.*, {OKEY} AS okey, coalesce(roots, ['actor:' || claim_id]) AS roots, coalesce(origin, 'unknown') AS origin, coalesce(ai, false) AS ai_only, coalesce(source_reliability, rel) AS rel, {_WHEN} AS spec FROM {CLAIMS} a LEFT JOIN per USING (claim_id) WHERE status IN ('accepted', 'proposed', 'disputed')),
+n AS (SELECT subject, predicate, okey, negated, count(DISTINCT root) AS independent FROM (SELECT subject, predicate, okey, negated, unnest(roots) AS root FROM c) GROUP BY ALL),
+t AS (SELECT c.*, independent, CASE WHEN independent >= 2 THEN 3 WHEN ai_only THEN 0 WHEN origin = 'primary' THEN 2 ELSE 1 END AS tier FROM c JOIN n ON c.subject IS NOT DISTINCT FROM n.subject AND c.predicate IS NOT DISTINCT FROM n.predicate AND c.okey IS NOT DISTINCT FROM n.okey AND c.negated IS NOT DISTINCT FROM n.negated)
+SELECT *, tier + least(0.999999, (0.35 * {_clip("coalesce(rel, CASE origin WHEN 'primary' THEN 0.8 WHEN 'secondary' THEN 0.6 WHEN 'tertiary' THEN 0.45 ELSE 0.4 END)")} + coalesce(0.2 * {_clip("extraction_conf")}, 0) + 0.3 * least(1.0, (independent - 1) / 3.0) + coalesce(0.15 * spec, 0)) / (0.65 + CASE WHEN extraction_conf IS NULL THEN 0 ELSE 0.2 END + CASE WHEN spec IS NULL THEN 0 ELSE 0.15 END) * CASE status WHEN 'accepted' THEN 1.0 WHEN 'proposed' THEN 0.8 ELSE 0.5 END) AS rank FROM t)"""
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    c = load(s, d, "assertions").filter("predicate = 'height'").select("claim_id", F.col("subject").alias("target")).distinct()
+    o = load(s, d, "observations").filter("metric = 'height'").select("target", "source").distinct()
+    src = load(s, d, "sources").select("source", "origin", "reliability").distinct()
+    return c.join(o, "target").join(src, "source").select("claim_id", F.col("source").alias("root"), "origin", "reliability", F.lit(None).cast("double").alias("extraction_conf"), (F.col("origin") == "ai_generated").alias("ai"))
 
 
 def _eval(s: SparkSession, d: str) -> DataFrame:
-    return claims.evaluate(load(s, d, "assertions").distinct().filter(F.col("status").isin(*claims.LIVE)))
+    return claims.evaluate(load(s, d, "assertions").distinct().filter(F.col("status").isin(*claims.LIVE)), evidence=_evidence(s, d))
+
+
+@query(f"SELECT tier, origin, ai_only, independent, count(*) AS n FROM (SELECT CAST(tier AS BIGINT) AS tier, origin, ai_only, independent FROM {_EVAL}) GROUP BY ALL")
+def rank_tiers(s: SparkSession, d: str) -> DataFrame:
+    return _eval(s, d).groupBy(F.col("tier").cast("bigint").alias("tier"), "origin", "ai_only", "independent").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT subject, predicate, okey, negated, max(independent) AS independent FROM {_EVAL} GROUP BY ALL")
+def independent_sources(s: SparkSession, d: str) -> DataFrame:
+    return _eval(s, d).groupBy("subject", "predicate", "okey", "negated").agg(F.max("independent").alias("independent"))
 
 
 @query(f"SELECT claim_id, okey, independent, CAST(tier AS BIGINT) AS tier, round(rank, 6) AS rank FROM {_EVAL}")
@@ -239,13 +265,20 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return c.select(canonical_id(F.col("subject")).alias("src"), canonical_id(F.col("object.resource")).alias("dst"), "predicate").distinct()
 
 
-@query(f"WITH e AS (SELECT * FROM {_EDGES}), s AS (SELECT min(src) AS n FROM e), a AS (SELECT src, dst, predicate FROM e, s WHERE src = n OR dst = n), f AS (SELECT src AS n FROM a UNION SELECT dst FROM a) SELECT DISTINCT e.src, e.dst, e.predicate FROM e JOIN f ON e.src = f.n OR e.dst = f.n")
+@query(f"WITH e AS (SELECT * FROM {_EDGES}), s AS (SELECT DISTINCT src AS n FROM e WHERE {_HUNDREDTH.format(c='src')}), a AS (SELECT n, src, dst, predicate FROM e JOIN s ON src = n OR dst = n), f AS (SELECT n, src AS m FROM a UNION SELECT n, dst FROM a) SELECT DISTINCT f.n AS start, e.src, e.dst, e.predicate FROM e JOIN f ON e.src = f.m OR e.dst = f.m")
 def neighbors_depth2(s: SparkSession, d: str) -> DataFrame:
     e = _edges(s, d)
-    return graph.neighbours(e, e.agg(F.min("src").alias("node")), depth=2).select("src", "dst", "predicate")
+    starts = e.filter(F.col("src").rlike("[0-9a-f]{8}$")).filter(_hundredth(F.col("src"))).select(F.col("src").alias("node")).distinct()
+    return graph.neighbours_each(e, starts, depth=2).select("start", "src", "dst", "predicate")
 
 
-@query()
+_CAUSES = f"(SELECT src, dst FROM {_EDGES} WHERE predicate = 'causes')"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_CAUSES}), reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+bad AS (SELECT src AS node FROM reach WHERE src = dst UNION SELECT r.dst FROM reach r JOIN reach c ON c.src = r.src AND c.src = c.dst), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), good AS (SELECT * FROM nodes EXCEPT SELECT * FROM bad),
+w AS (SELECT node, 0 AS level FROM good UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.node JOIN good g ON g.node = e.dst)
+SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY 1""")
 def order_graph_levels(s: SparkSession, d: str) -> DataFrame:
     return graph.order_levels(_edges(s, d).filter("predicate = 'causes'"))
 
@@ -305,11 +338,29 @@ def allen_fuzzy_possible(s: SparkSession, d: str) -> DataFrame:
     return o.join(x, "k").select(allen.possible_mask(a, b).cast("bigint").alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT i.i AS s, j.j AS e FROM range(6) i(i), range(6) j(j) WHERE i.i < j.j), r AS (SELECT a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, {_allen_sql("a.s", "a.e", "b.s", "b.e")} AS rel FROM p a, p b)
+SELECT x.rel AS "first", y.rel AS "second", CAST(bit_or(1 << (list_position({allen.RELATIONS!r}, z.rel) - 1)) AS INTEGER) AS mask FROM r x JOIN r y ON x.s2 = y.s1 AND x.e2 = y.e1 JOIN r z ON z.s1 = x.s1 AND z.e1 = x.e1 AND z.s2 = y.s2 AND z.e2 = y.e2 GROUP BY 1, 2""")
 def allen_composition(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(a, b, m) for (a, b), m in allen.composition().items()], "first string, second string, mask int")
 
 
+_INF = 2**63 - 1
+
+
+@query(f"""WITH w AS (SELECT o_orderkey AS k, epoch_ms(o_orderdate) AS o, o_orderstatus AS st, x.a, x.b FROM orders LEFT JOIN {_SHIP} x ON x.k = o_orderkey), p AS (SELECT k, o, CASE WHEN st = 'P' THEN NULL ELSE a END AS a, CASE WHEN st = 'O' THEN NULL ELSE b END AS b, st, (SELECT count(*) FROM orders) AS n FROM w)
+SELECT CAST(k AS VARCHAR) AS subject, CASE WHEN k % 5 = 0 THEN o ELSE coalesce(a, -{_INF} - 1) END AS es, CASE WHEN k % 5 = 0 THEN o ELSE least(coalesce(b + {DAY}, {_INF}), coalesce(a + {DAY}, {_INF})) END AS ls,
+CASE WHEN k % 5 = 0 THEN o + {DAY} ELSE greatest(coalesce(a, -{_INF} - 1), coalesce(b, -{_INF} - 1)) END AS ee, CASE WHEN k % 5 = 0 THEN o + {DAY} ELSE coalesce(b + {DAY}, {_INF}) END AS le FROM p WHERE k % 5 = 0 OR a IS NOT NULL OR b IS NOT NULL""")
+def time_from_start_end(s: SparkSession, d: str) -> DataFrame:
+    """Shipments as events: an order in five has a time of its own, the others a start (not of orders with status P), an end (not with O), or both."""
+    o = load(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("st"), tick(F.col("o_orderdate")).alias("o"))
+    _, x = _spans(s, d)
+    j = o.join(x, "k", "left")
+    told = lambda cond, p, t: F.when(cond & F.col(t).isNotNull(), F.struct(F.lit(p).alias("predicate"), F.col(t).alias("t")))
+    every = F.array(told(F.col("k") % 5 == 0, "occurred_at", "o"), told(F.col("st") != "P", "start_time", "a"), told(F.col("st") != "O", "end_time", "b"))
+    c = j.select(F.col("k").cast("string").alias("subject"), F.explode(F.filter(every, lambda e: e.isNotNull())).alias("c")).select("subject", "c.predicate", F.concat_ws(":", "subject", "c.predicate").alias("claim_id"), F.lit(False).alias("negated"), F.lit(1.0).alias("rank"), F.lit("gregorian").alias("axis"), *[F.col("c.t").alias(n) for n in ("es", "ls")], *[(F.col("c.t") + DAY).alias(n) for n in ("ee", "le")])
+    return claims.event_times(c).select("subject", "time.es", "time.ls", "time.ee", "time.le")
+
+
 _QS, _QE = 852_076_800_000, 860_000_000_000  # a window of 1997
 
 
@@ -327,7 +378,8 @@ def time_granularity(s: SparkSession, d: str) -> DataFrame:
     return x.select(fuzzy.granularity(fuzzy.fuzzy(F.col("a"), F.col("a") + DAY, F.col("b"), F.col("b") + DAY)).alias("granularity")).groupBy("granularity").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH w AS (SELECT o_orderkey AS k, epoch_ms(o_orderdate) AS s, epoch_ms(o_orderdate) + {DAY} AS e FROM orders WHERE o_orderpriority LIKE '1%'), r AS (SELECT k, a AS s, b + {DAY} AS e FROM {_SHIP} WHERE b - a < {20 * DAY}) SELECT r.k AS r_k, count(*) AS n FROM w JOIN r ON w.s < r.e AND r.s < w.e GROUP BY 1")
+@query(f"""WITH o AS {_ORD}, r AS (SELECT k, a AS s, b + {DAY} AS e FROM {_SHIP}), st AS (SELECT s AS t, sum(count(*)) OVER (ORDER BY s) AS n FROM o GROUP BY s), en AS (SELECT e AS t, sum(count(*)) OVER (ORDER BY e) AS n FROM o GROUP BY e)
+SELECT k AS r_k, CAST(coalesce(st.n, 0) - coalesce(en.n, 0) AS BIGINT) AS n FROM r ASOF LEFT JOIN st ON st.t < r.e ASOF LEFT JOIN en ON en.t <= r.s WHERE coalesce(st.n, 0) > coalesce(en.n, 0)""")
 def interval_overlap_join(s: SparkSession, d: str) -> DataFrame:
     o, x = _spans(s, d)
     right = x.select("k", F.col("a").alias("s"), (F.col("b") + DAY).alias("e"))
@@ -337,7 +389,7 @@ def interval_overlap_join(s: SparkSession, d: str) -> DataFrame:
 _BOX = f"(SELECT canonical_id AS id, placement.minx AS minx, placement.miny AS miny, placement.maxx AS maxx, placement.maxy AS maxy FROM {LATEST} WHERE placement.frame = 'wgs84')"
 
 
-@query(f"SELECT a.id AS l_id, b.id AS r_id FROM {_BOX} a JOIN {_BOX} b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE a.minx < a.maxx AND a.maxx - a.minx < 5 AND b.minx = b.maxx")
+@query(f"SELECT a.id AS l_id, b.id AS r_id FROM {_BOX} a JOIN {_BOX} b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE a.minx < a.maxx AND b.minx = b.maxx")
 def grid_spatial_join(s: SparkSession, d: str) -> DataFrame:
     p = search.latest_states(load(s, d, "resource_facts")).filter("placement.frame = 'wgs84'").select(F.col("canonical_id").alias("id"), "placement.minx", "placement.miny", "placement.maxx", "placement.maxy")
     boxes, points, wide = p.filter("minx < maxx"), p.filter("minx = maxx"), F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) >= 5
@@ -351,10 +403,10 @@ def grid_spatial_join(s: SparkSession, d: str) -> DataFrame:
 OBS = "(SELECT DISTINCT * FROM observations)"
 
 
-@query(f"SELECT metric, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS greatest FROM {OBS} WHERE epoch_us(observed_at) >= 1546300800000000 AND epoch_us(observed_at) < 1577836800000000 AND epoch_us(coalesce(recorded_at, observed_at)) <= 1577836800000000 GROUP BY 1")
+@query(f"SELECT metric, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(30, 6))) AS DOUBLE) / count(value), 4) AS mean, min(value) AS least, max(value) AS greatest FROM {OBS} WHERE epoch_us(observed_at) >= 1546300800000000 AND epoch_us(observed_at) < 1577836800000000 AND epoch_us(coalesce(recorded_at, observed_at)) <= 1577836800000000 GROUP BY 1")
 def observations_range(s: SparkSession, d: str) -> DataFrame:
     o = series.observations_between(load(s, d, "observations"), start_us=1_546_300_800_000_000, end_us=1_577_836_800_000_000, as_known_at_us=1_577_836_800_000_000)
-    return o.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+    return o.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(28, 6)")).cast("double") / F.count("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("greatest"))
 
 
 @query(f"SELECT target, metric, obs_id, value FROM (SELECT *, row_number() OVER (PARTITION BY target, metric ORDER BY observed_at DESC, obs_id DESC) rn FROM {OBS} WHERE target IS NOT NULL AND epoch_us(observed_at) <= {KNOWN_AT}) WHERE rn = 1")
@@ -378,7 +430,11 @@ def asof_position_step(s: SparkSession, d: str) -> DataFrame:
     return series.position_at(e, _T, how="step")
 
 
-@query(f"WITH x AS (SELECT k, a, b + {DAY} AS e FROM {_SHIP} WHERE b - a < {60 * DAY}) SELECT k, count(*) AS n FROM x, range(0, 62) r(i) WHERE ((a - 59400000 + 32400000) // {DAY} + i) % 7 = 1 AND ((a - 59400000 + 32400000) // {DAY} + i) * {DAY} + 59400000 - 32400000 >= a AND ((a - 59400000 + 32400000) // {DAY} + i) * {DAY} + 59400000 - 32400000 < e GROUP BY 1")
+_FIRST_FRI = "((a - 27000000 + 86399999) // 86400000)"  # first day whose 16:30 at UTC+9 is not before the interval, then the last one in it
+_LAST_FRI = "((e - 27000000 + 86399999) // 86400000 - 1)"
+
+
+@query(f"SELECT k, CAST(n AS BIGINT) AS n FROM (SELECT k, ({_LAST_FRI} + 6) // 7 - ({_FIRST_FRI} + 5) // 7 AS n FROM (SELECT k, a, b + {DAY} AS e FROM {_SHIP})) WHERE n > 0")
 def recurrence_occurrences(s: SparkSession, d: str) -> DataFrame:
     """Fridays 16:30 at UTC+9 in each shipment's interval; day 1 after the epoch is a Friday."""
     _, x = _spans(s, d)
@@ -392,7 +448,7 @@ def weekday_counts(s: SparkSession, d: str) -> DataFrame:
 
 # ---- history: events of a user as a conversation, event_id as sequence number
 
-_HIST = "(SELECT user_id, event_id // 10 AS seq, ts, event_type FROM events WHERE event_id % 10 < 7)"
+_HIST = "(SELECT user_id, event_id AS seq, ts, event_type FROM events)"
 
 
 def _hist(s: SparkSession, d: str) -> DataFrame:
@@ -488,47 +544,60 @@ def export_ntriples(s: SparkSession, d: str) -> DataFrame:
 # ---- text, vectors
 
 
-@query(r"SELECT resource_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+'))), ' ') AS words FROM (SELECT DISTINCT resource_id, trim(label) AS label FROM resources) WHERE regexp_full_match(label, '[\x20-\x7e]+')")
+_runs = lambda pattern: f"regexp_extract_all(regexp_replace({norm_sql('label')}, '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '{pattern}')"
+_PAIRS = "CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END"
+_LABELS = "(SELECT DISTINCT resource_id, trim(label) AS label FROM resources)"
+
+
+@query(f"SELECT resource_id, array_to_string(list_sort(list_distinct(flatten(list_transform({_runs('[a-z0-9]+|[^a-z0-9 ]+')}, lambda r: CASE WHEN regexp_matches(r, '^[a-z0-9]') THEN [r] ELSE {_PAIRS} END)))), ' ') AS words FROM {_LABELS} WHERE label IS NOT NULL")
 def label_tokens(s: SparkSession, d: str) -> DataFrame:
     r = _res(s, d).select("resource_id", "label").distinct().filter("label is not null")
     return r.select("resource_id", F.concat_ws(" ", F.array_sort(F.array_distinct(text.tokens(F.col("label"))))).alias("words"))
 
 
-@query()
+@query(f"SELECT resource_id, array_to_string(list_sort(list_distinct(flatten(list_transform({_runs('[^ ]+')}, lambda r: {_PAIRS})))), ' ') AS grams FROM {_LABELS} WHERE label IS NOT NULL")
 def label_grams(s: SparkSession, d: str) -> DataFrame:
-    return _res(s, d).select("resource_id", "label").distinct().select("resource_id", text.grams(F.col("label")).alias("grams"))
+    r = _res(s, d).select("resource_id", "label").distinct().filter("label is not null")
+    return r.select("resource_id", F.concat_ws(" ", text.grams(F.col("label"))).alias("grams"))
 
 
-_DOT = "list_dot_product(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[]))"
+# the queries of vector searches are the rows with vec_id divisible by 100
+_PAIR = "embeddings v, (SELECT vec_id AS query_id, embedding AS q, label AS q_label FROM embeddings WHERE vec_id % 100 = 0) w"
+_DOT = "list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))"
+_HAM = "CAST(list_sum(list_transform(list_zip(embedding, q), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT)"
 
 
-def _first(s: SparkSession, d: str) -> list[float]:
-    return load(s, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    e = load(s, d, "embeddings")
+    return e, e.filter("vec_id % 100 = 0"), len(e.select("embedding").first()[0])
 
 
-@query(f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings ORDER BY {_DOT} DESC, vec_id LIMIT 10")
+@query(f"SELECT query_id, vec_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12) DESC, vec_id) AS r FROM (SELECT query_id, vec_id, {_DOT} AS x FROM {_PAIR})) WHERE r <= 10")
 def vector_topk_exact(s: SparkSession, d: str) -> DataFrame:
-    return vectors.top_k(load(s, d, "embeddings"), _first(s, d), 10).select("vec_id", F.round("score", 6).alias("score"))
+    e, q, dims = _asked(s, d)
+    return vectors.nearest_each(e, q, 10, dims).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings WHERE label = 1 ORDER BY {_DOT} DESC, vec_id LIMIT 10")
+@query(f"SELECT query_id, vec_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12) DESC, vec_id) AS r FROM (SELECT query_id, vec_id, {_DOT} AS x FROM {_PAIR} WHERE label = q_label)) WHERE r <= 10")
 def vector_filtered(s: SparkSession, d: str) -> DataFrame:
-    return vectors.top_k(load(s, d, "embeddings"), _first(s, d), 10, keep=F.col("label") == 1).select("vec_id", F.round("score", 6).alias("score"))
+    """Among the rows with the query's label."""
+    e, q, dims = _asked(s, d)
+    return vectors.nearest_each(e, q, 10, dims, same="label").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT vec_id, CAST(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance FROM embeddings")
+@query(f"SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM (SELECT query_id, vec_id, {_HAM} AS distance FROM {_PAIR})) WHERE r <= 50")
 def vector_hamming(s: SparkSession, d: str) -> DataFrame:
-    q = _first(s, d)
-    n = len(q)
-    code = F.array(*[F.lit(float(x)) for x in q])
-    return load(s, d, "embeddings").select("vec_id", vectors.hamming(vectors.sign_code(F.col("embedding"), n), vectors.sign_code(code, n)).cast("bigint").alias("distance"))
+    e, q, dims = _asked(s, d)
+    return vectors.nearest_each(e, q, 50, dims, by="hamming").select("query_id", "vec_id", F.col("score").cast("bigint").alias("distance"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT query_id, vec_id, {_HAM} AS h, {_DOT} AS x FROM {_PAIR}), c AS (SELECT query_id, h, sum(count(*)) OVER (PARTITION BY query_id ORDER BY h) AS upto, sum(count(*)) OVER (PARTITION BY query_id) AS n FROM h GROUP BY query_id, h),
+b AS (SELECT query_id, min(h) AS bound FROM c WHERE upto >= least(n, greatest(160, ceil(n * 0.3))) GROUP BY 1)
+SELECT query_id, vec_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS r FROM h JOIN b USING (query_id) WHERE h <= bound) WHERE r <= 10""")
 def vector_topk_by_code(s: SparkSession, d: str) -> DataFrame:
     """The rows with vec_id divisible by 100 as queries."""
-    e = load(s, d, "embeddings")
-    return vectors.top_k_by_code_each(e, e.filter("vec_id % 100 = 0"), 10, len(_first(s, d))).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    e, q, dims = _asked(s, d)
+    return vectors.top_k_by_code_each(e, q, 10, dims).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT canonical_id, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(51.5 - placement.miny) / 2), 2) + cos(radians(placement.miny)) * cos(radians(51.5)) * pow(sin(radians(0 - placement.minx) / 2), 2)))) / 1000, 3) AS km FROM (SELECT DISTINCT canonical_id, placement FROM resource_facts) WHERE placement.frame = 'wgs84' AND placement.minx = placement.maxx")
@@ -548,7 +617,7 @@ def extract_link_decisions(s: SparkSession, d: str) -> DataFrame:
     return extract.link_decisions(load(s, d, "entity_mentions"), load(s, d, "resources"))
 
 
-@query("SELECT doc_id, mention_ref, problem FROM (SELECT doc_id, mention_ref, 'repeated' AS problem FROM (SELECT DISTINCT * FROM entity_mentions) GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT doc_id, mention_ref, 'no label' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE label IS NULL OR trim(label) = '' UNION ALL SELECT doc_id, mention_ref, 'bad span' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE span_start >= span_end OR span_start < 0)")
+@query("SELECT doc_id, mention_ref, problem FROM (SELECT doc_id, mention_ref, 'repeated' AS problem FROM (SELECT DISTINCT * FROM entity_mentions) GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT doc_id, mention_ref, 'no label' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE label IS NULL OR trim(label) = '' UNION ALL SELECT doc_id, mention_ref, 'bad span' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE span_start >= span_end OR span_start < 0 UNION ALL SELECT doc_id, mention_ref, 'no wording' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE mention IS NULL UNION ALL SELECT doc_id, mention_ref, 'no span' FROM (SELECT DISTINCT * FROM entity_mentions) WHERE span_start IS NULL)")
 def extract_validate(s: SparkSession, d: str) -> DataFrame:
     return extract.validate_mentions(load(s, d, "entity_mentions"))
 

@@ -39,7 +39,7 @@ def resolve_anchored(known: DataFrame, relative: DataFrame, *, max_rounds: int =
     missing = waits.join(every.withColumnRenamed("node", "on"), "on", "left_anti").select("node").distinct().withColumn("_m", F.lit(True))
     # what still waits after circles are walked out hangs on one; where rounds ran out it may only be deep
     left, edges = open_, waits
-    for _ in range(max_rounds * 8):
+    while True:
         stuck = edges.join(left.select(F.col("node").alias("on")), "on", "left_semi").select("node").distinct()
         kept = cut(left.join(stuck, "node", "left_semi"))
         if kept.count() == left.count():

@@ -84,12 +84,13 @@ def time_mentions(documents: DataFrame) -> DataFrame:
 
 
 def validate_mentions(mentions: DataFrame) -> DataFrame:
-    """(doc_id, mention_ref, problem): repeated references of one document, empty labels, spans that are none."""
+    """(doc_id, mention_ref, problem): repeated references of one document, empty labels, missing wordings and spans, spans that are none."""
     m = mentions.distinct()
     twice = m.groupBy("doc_id", "mention_ref").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "mention_ref", F.lit("repeated").alias("problem"))
     empty = m.filter("label is null or trim(label) = ''").select("doc_id", "mention_ref", F.lit("no label").alias("problem"))
     span = m.filter("span_start >= span_end or span_start < 0").select("doc_id", "mention_ref", F.lit("bad span").alias("problem"))
-    return twice.unionByName(empty).unionByName(span)
+    gone = [m.filter(f"{c} is null").select("doc_id", "mention_ref", F.lit(p).alias("problem")) for c, p in (("mention", "no wording"), ("span_start", "no span"))]
+    return twice.unionByName(empty).unionByName(span).unionByName(gone[0]).unionByName(gone[1])
 
 
 def link_decisions(mentions: DataFrame, resources: DataFrame) -> DataFrame:

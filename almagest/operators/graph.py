@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,23 +71,62 @@ def neighbours(edges: DataFrame, start: DataFrame, *, depth: int = 1, direction:
     return out.groupBy(*cols).agg(F.min("step").alias("step"))
 
 
-def order_levels(edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+def neighbours_each(edges: DataFrame, start: DataFrame, *, depth: int = 1) -> DataFrame:
+    """(start and all columns of the edges, step): for each of the nodes in ``start`` (column node) the edges (src, dst and others) within ``depth`` steps in either direction, each once."""
+    if not 1 <= depth <= 3:
+        raise ValueError("depth must be 1, 2 or 3")
+    cols = edges.columns
+    ends = edges.withColumn("_n", F.col("src")).unionByName(edges.withColumn("_n", F.col("dst"))).distinct()
+    frontier = start.select(F.col("node").alias("start"), F.col("node").alias("_n")).distinct()
+    seen, out = frontier, None
+    for k in range(1, depth + 1):
+        found = frontier.join(ends, "_n").select("start", *cols).distinct().withColumn("step", F.lit(k))
+        out = found if out is None else out.unionByName(found)
+        if k < depth:
+            reached = found.select("start", F.explode(F.array("src", "dst")).alias("_n")).filter("_n is not null").distinct()
+            frontier = cut(reached.join(seen, ["start", "_n"], "left_anti"))
+            seen = seen.unionByName(frontier)
+    return out.groupBy("start", *cols).agg(F.min("step").alias("step"))
+
+
+def _local_levels(edges: pd.DataFrame) -> pd.DataFrame:
+    after, waits = defaultdict(list), defaultdict(int)
+    for a, b in zip(edges["src"], edges["dst"], strict=True):
+        after[a].append(b)
+        waits[b] += 1
+    level = {n: 0 for n in after if not waits[n]}
+    todo = deque(level)
+    while todo:
+        a = todo.popleft()
+        for b in after[a]:
+            level[b] = max(level.get(b, 0), level[a] + 1)
+            waits[b] -= 1
+            if not waits[b]:
+                todo.append(b)
+    return pd.DataFrame([(n, x) for n, x in level.items() if not waits[n]], columns=["node", "level"])
+
+
+def order_levels(edges: DataFrame, *, task_edges: int = 1_000_000) -> DataFrame:
     """(node, level): nodes of an acyclic before-after graph by the longest chain before them; nodes on or behind circles have no row.
 
-    ``edges`` has src (before) and dst (after). Each round takes the nodes whose predecessors are all placed.
+    ``edges`` has src (before) and dst (after); nodes without an edge have no row. Up to ``task_edges`` edges are one
+    task's work, whatever their depth. More are taken level by level, each round placing the nodes whose predecessors
+    are all placed, until what is left fits one task or can't be placed; no depth is cut off.
     """
+    node = edges.schema["src"].dataType.simpleString()
     e = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
     left = cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
-    out, level = None, 0
-    while level < max_rounds:
-        waiting = e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        free = cut(left.join(waiting, "node", "left_anti"))
+    done, level = left.filter("false").withColumn("level", F.lit(0)), 0
+    while e.count() > task_edges:
+        free = cut(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
-            break
-        part = free.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-        left, level = cut(left.join(free, "node", "left_anti")), level + 1
-    return out if out is not None else left.withColumn("level", F.lit(0))
+            return done  # circles only
+        done, level = done.unionByName(free.withColumn("level", F.lit(level))), level + 1
+        e, left = cut(e.join(free.withColumnRenamed("node", "src"), "src", "left_anti")), cut(left.join(free, "node", "left_anti"))
+    rest = e.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_local_levels, f"node {node}, level int").select("node", (F.col("level") + level).alias("level"))
+    # nodes of the current level that no edge is left to lead to or from
+    alone = left.join(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "node", "left_anti").withColumn("level", F.lit(level))
+    return done.unionByName(alone).unionByName(rest)
 
 
 def branch_chains(branches: DataFrame, *, max_depth: int = 64) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from almagest.functions.geo import boxes_meet, haversine_m, near_box
@@ -92,3 +93,18 @@ def similar(projected: DataFrame, target: str, *, limit: int = 10, weights: tupl
     places = jaccard(F.coalesce("place_ancestors", F.array()), F.col("_pa"))
     score = weights[0] * places + weights[1] * jaccard(F.col("types"), F.col("_ty")) + weights[2] * F.least(F.lit(1.0), F.coalesce("rank", F.lit(0.0)) / 5)
     return j.select("canonical_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "canonical_id").limit(limit)
+
+
+def similar_each(projected: DataFrame, targets: DataFrame, *, limit: int = 10, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """(target, canonical_id, score): as ``similar``, for each row of ``targets``; blocks of targets meet blocks of rows."""
+    none = F.array().cast("array<string>")
+    sets = lambda d, p: d.select(F.col("canonical_id").alias(f"{p}id"), F.array_distinct(F.coalesce("place_ancestors", none)).alias(f"{p}pa"), F.array_distinct(F.coalesce("types", none)).alias(f"{p}ty"), F.coalesce("rank", F.lit(0.0)).alias(f"{p}rank"))
+    j = sets(projected, "").join(sets(targets, "_").drop("_rank"), (F.col("id") != F.col("_id")) & (F.arrays_overlap("pa", "_pa") | F.arrays_overlap("ty", "_ty")))
+
+    def jaccard(a: str, b: str) -> Column:
+        u = F.size(F.array_union(a, b))
+        return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0))
+
+    score = weights[0] * jaccard("pa", "_pa") + weights[1] * jaccard("ty", "_ty") + weights[2] * F.least(F.lit(1.0), F.col("rank") / 5)
+    ranked = j.select(F.col("_id").alias("target"), F.col("id").alias("canonical_id"), F.round(score, 6).alias("score"))
+    return ranked.withColumn("_r", F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "canonical_id"))).filter(F.col("_r") <= limit).drop("_r")

@@ -17,7 +17,7 @@ def observations_between(obs: DataFrame, *, start_us: int, end_us: int, metric:
         out = out.filter(F.col("metric") == metric)
     if as_known_at_us is not None:
         out = out.filter(F.coalesce(F.unix_micros("recorded_at"), at) <= as_known_at_us)
-    return out.dropDuplicates(["obs_id"])
+    return out.distinct()
 
 
 def latest(obs: DataFrame, *, at_us: int) -> DataFrame:
