@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; only where it is unset (tests) take a folder of our own."""
+    """Use the folder named by ``spark.checkpoint.dir``; only where it is unset, and all runs on this machine (tests), take a folder of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="almagest-checkpoint-"))
 
 
