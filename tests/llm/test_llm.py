@@ -118,6 +118,12 @@ def test_mixture(spark):
         order = training_order(df, tg, bucket_tokens=bucket).collect()
         assert len(order) == sum(r.uses for r in rep.values()) and [r.position for r in order] == sorted(r.position for r in order)
         assert all(0 <= r.position <= 1 for r in order) and len({(r.doc_id, r.use) for r in order}) == len(order)
+    late = training_order(df, tg, schedule={"mid": [(0.5, 0), (0.5001, 1), (1, 3)], "big": [(0, 2), (0.25, 2), (0.2501, 0), (0.75, 0), (0.7501, 2)], "tiny": [(0.3, 0)]}).collect()
+    assert len(late) == len(order)
+    at = lambda s: sorted(r.position for r in late if r.source == s)
+    third = sum(p < 0.75 for p in at("mid")) / len(at("mid"))  # of the line from 1 to 3 over the second half: 0.75 / 2
+    assert at("mid")[0] >= 0.5 and third == pytest.approx(0.375, abs=0.03) and not any(0.2502 < p < 0.75 for p in at("big")) and sum(p < 0.5 for p in at("big")) / len(at("big")) == pytest.approx(0.5, abs=0.05)
+    assert sum(p < 0.5 for p in at("tiny")) / len(at("tiny")) == pytest.approx(0.5, abs=0.1)
     empty = mixture_report(df.filter("false"), tg).collect()
     assert all(r.uses == 0 and r.actual_share == 0 for r in empty)
 
