@@ -1,8 +1,10 @@
 """A knowledge base as an append-only log of revisions, with tables derived from it, written and queried by dicts.
 
-Every write is one revision: a JSON line in ``log/``. A table is its bulk rows in Parquet (``base/<table>``) together
-with the rows of later revisions; ``compact`` moves the log's rows into Parquet. Every read operation builds a
-DataFrame first; ``query`` renders it.
+Every write is one revision: a JSON line in ``log/``, under a number that is claimed by making a file, so that writers
+in several processes never take the same one. A table is its Parquet folders, listed by the newest pointer file in
+``base/<table>``, together with the rows of later revisions; ``compact`` moves the log's rows into a new folder and then
+makes a new pointer, so that a crash leaves the table as it was. Every read operation builds a DataFrame first;
+``query`` renders it. The root may lie on any file system that driver and executors share.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,16 +26,18 @@ from almagest.functions import allen, fuzzy, text, vectors
 from almagest.functions.ids import canonical_id
 from almagest.functions.temporal_text import parse
 from almagest.operators import claims, graph, search, series
+from almagest.plans import small
+from almagest.sources.files import Files
 
 _OBJECT = "struct<kind:string,resource:string,text:string,lang:string,amount:double,unit:string,moment:string>"
 _PLACE = "struct<frame:string,minx:double,miny:double,maxx:double,maxy:double,z:double>"
 TABLES = {
     "resources": "resource_id string, types array<string>, label string, lang string, aliases array<string>, description string, external_ids array<string>, visibility string, license string",
-    "assertions": f"claim_id string, subject string, predicate string, object {_OBJECT}, negated boolean, valid_time string, calendar string, branch_id string, canon string, timeline string, source_reliability double, extraction_conf double, visibility string, license string, first_known_at bigint, note string, created_at bigint, es bigint, ls bigint, ee bigint, le bigint, axis string",
+    "assertions": f"claim_id string, subject string, predicate string, object {_OBJECT}, negated boolean, valid_time string, calendar string, branch_id string, canon string, timeline string, source_reliability double, extraction_conf double, visibility string, license string, first_known_at bigint, note string, supersedes string, created_at bigint, es bigint, ls bigint, ee bigint, le bigint, axis string",
     "status_changes": "claim_id string, status string, basis_at bigint, reason string, verified boolean, superseded_by string",
     "evidence": "claim_id string, acquisition string, extractor string, model string, model_version string, extracted_at bigint",
     "merge_proposals": "merge_id string, from_id string, into_id string, reason string, requested_at bigint", "merge_decisions": "merge_id string, approved boolean",
-    "sources": "source_id string, source string, locator string, kind string, title string, origin string, reliability double, license string, visibility string, owner string", "acquisitions": "acquisition string, source_id string, acquired_at bigint, acquired_by string, hash string, media_type string",
+    "sources": "source_id string, source string, locator string, kind string, title string, origin string, provenance_root string, reliability double, license string, visibility string, owner string", "acquisitions": "acquisition string, source_id string, acquired_at bigint, acquired_by string, hash string, media_type string",
     "snapshots": "hash string, body string, key_id string", "events": "owner string, conversation string, event_id string, sequence bigint, kind string, origin string, received_at bigint, call_id string, supersedes string, content string, hash string, key_id string",
     "observations": "obs_id string, target string, metric string, observed_at bigint, recorded_at bigint, value double, unit string, acquisition string, branch_id string", "samples": "target string, trajectory string, frame string, how string, t bigint, x double, y double, z double",
     "predicates": "key string, functional boolean, role string, status string", "types": "type_key string, label string, parents array<string>, status string", "calendars": "key string, axis string, kind string, body string", "frames": "key string, parent string, matrix array<double>", "licenses": "key string, redistributable boolean",
@@ -43,6 +46,15 @@ TABLES = {
 }
 _LOG = "seq bigint, op string, at bigint, actor string, rows array<struct<t:string,row:string>>"
 MAIN = "main"
+# Built-in types, each with the one above it.
+BUILTIN_TYPES = {
+    child: parent
+    for parent, children in {
+        None: "Resource", "Resource": "Event Entity Place Work Document Dataset Concept", "Entity": "Person Character Organization Object", "Object": "Vehicle", "Place": "World Region Area Subplace Building Station TransportFacility VirtualSpace Dream", "Region": "Country City", "Subplace": "Room",
+        "Area": "Dungeon", "World": "Dimension", "Work": "Franchise Series Season Episode Movie OVA Volume Chapter Game Book", "Document": "WebPage Post Image Video Audio", "Dataset": "Table", "Concept": "Predicate Type Canon Timeline",
+    }.items()
+    for child in children.split()
+}
 
 
 class KbError(Exception):
@@ -67,39 +79,79 @@ def _need(req: dict, *names: str) -> list:
 
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] = lambda: int(time.time() * 1000)) -> None:
-        self.spark, self.root, self.clock = spark, Path(root), clock
-        (self.root / "log").mkdir(parents=True, exist_ok=True)
+        self.spark, self.clock = spark, clock
+        self.files = Files(spark, root)
         self.lock = threading.Lock()
-        self.seq = max((int(p.stem) for p in (self.root / "log").glob("*.json")), default=0)
+        self.warnings: list[str] = []
+
+    @property
+    def seq(self) -> int:
+        """The last revision, whoever wrote it."""
+        done = [int(n[:-5]) for n in self.files.names("log") if n.endswith(".json")]
+        return max([*done, self._pointer("_revisions")["seq"]], default=0)
 
     # -- tables
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(_LOG).json(str(self.root / "log")) if any((self.root / "log").glob("*.json")) else self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).json(self.files.at("log/*.json")) if any(n.endswith(".json") for n in self.files.names("log")) else self.spark.createDataFrame([], _LOG)
+
+    def _pointer(self, name: str) -> dict:
+        """The folders of a table and the last revision they hold."""
+        known = sorted(n for n in self.files.names(f"base/{name}") if n.startswith("at-"))
+        return json.loads(self.files.read(f"base/{name}/{known[-1]}")) if known else {"dirs": [], "seq": 0, "n": 0}
+
+    def _point(self, name: str, old: dict, folder: str, seq: int) -> None:
+        self.files.put(f"base/{name}/at-{old['n'] + 1:012d}", json.dumps({"dirs": [*old["dirs"], folder], "seq": seq, "n": old["n"] + 1}).encode())
+
+    def _base(self, name: str, p: dict) -> DataFrame | None:
+        return self.spark.read.schema(f"seq bigint, {TABLES[name]}").parquet(*[self.files.at(f"base/{name}/{d}") for d in p["dirs"]]) if p["dirs"] else None
+
+    def _tail(self, name: str, after: int, until: int | None = None) -> DataFrame:
+        log = self.log().filter(F.col("seq") > after)
+        rows = (log if until is None else log.filter(F.col("seq") <= until)).select("seq", F.explode("rows").alias("r")).filter(F.col("r.t") == name)
+        return rows.select("seq", F.from_json("r.row", TABLES[name]).alias("x")).select("seq", "x.*")
 
     def table(self, name: str) -> DataFrame:
         """The table with seq, the revision of each row; bulk rows have that of their load."""
-        rows = self.log().filter(F.col("seq") > self.base_seq(name)).select("seq", F.explode("rows").alias("r")).filter(F.col("r.t") == name)
-        tail = rows.select("seq", F.from_json("r.row", TABLES[name]).alias("x")).select("seq", "x.*")
-        base = self.root / "base" / name
-        return self.spark.read.parquet(str(base)).unionByName(tail) if base.exists() else tail
-
-    def base_seq(self, name: str) -> int:
-        p = self.root / "base" / f"{name}.seq"
-        return int(p.read_text()) if p.exists() else 0
+        p = self._pointer(name)
+        base, tail = self._base(name, p), self._tail(name, p["seq"])
+        return tail if base is None else base.unionByName(tail)
 
     def bulk_load(self, name: str, df: DataFrame) -> None:
         """Append many rows of a table as Parquet; missing columns are null, others are ignored."""
-        schema = self.spark.createDataFrame([], TABLES[name]).schema
-        have = set(df.columns)
+        p, schema, have = self._pointer(name), self.spark.createDataFrame([], TABLES[name]).schema, set(df.columns)
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        df.select(F.lit(self.seq).cast("bigint").alias("seq"), *cols).write.mode("append").parquet(str(self.root / "base" / name))
+        folder = f"rows-{uuid.uuid4().hex}"
+        df.select(F.lit(self.seq).cast("bigint").alias("seq"), *cols).write.parquet(self.files.at(f"base/{name}/{folder}"))
+        self._point(name, p, folder, p["seq"])
 
     def compact(self, name: str) -> None:
+        """The log's rows of the table as Parquet; they count from the moment the new pointer is there."""
+        p, until, folder = self._pointer(name), self.seq, f"rows-{uuid.uuid4().hex}"
+        self._tail(name, p["seq"], until).write.parquet(self.files.at(f"base/{name}/{folder}"))
+        self._point(name, p, folder, until)
+
+    def trim(self) -> int:
+        """Compact all tables, keep the headers of the revisions, and remove the log files they cover; returns how many."""
         until = self.seq
-        tail = self.log().filter((F.col("seq") > self.base_seq(name)) & (F.col("seq") <= until)).select("seq", F.explode("rows").alias("r")).filter(F.col("r.t") == name)
-        tail.select("seq", F.from_json("r.row", TABLES[name]).alias("x")).select("seq", "x.*").write.mode("append").parquet(str(self.root / "base" / name))
-        (self.root / "base" / f"{name}.seq").write_text(str(until))
+        for name in TABLES:
+            self.compact(name)
+        p, folder = self._pointer("_revisions"), f"rows-{uuid.uuid4().hex}"
+        self._headers(self.log().filter((F.col("seq") > p["seq"]) & (F.col("seq") <= until))).write.parquet(self.files.at(f"base/_revisions/{folder}"))
+        self._point("_revisions", p, folder, until)
+        old = [n for n in self.files.names("log") if n[:12].isdigit() and int(n[:12]) <= until]
+        for n in old:
+            self.files.remove(f"log/{n}")
+        return len(old)
+
+    @staticmethod
+    def _headers(log: DataFrame) -> DataFrame:
+        return log.select("seq", "op", "at", "actor", F.size("rows").alias("rows"))
+
+    def revisions(self) -> DataFrame:
+        p = self._pointer("_revisions")
+        new = self._headers(self.log().filter(F.col("seq") > p["seq"]))
+        return new.unionByName(self.spark.read.parquet(*[self.files.at(f"base/_revisions/{d}") for d in p["dirs"]])) if p["dirs"] else new
 
     # -- writes
 
@@ -109,15 +161,21 @@ class KnowledgeBase:
         if f is None:
             raise KbError("invalid", f"unknown operation {req.get('op')!r}")
         with self.lock:
-            rows, out = f(req)
-            if not rows:
-                return {"seq": self.seq, **out}
-            seq = self.seq + 1
+            while True:
+                seq = self.seq + 1
+                rows, out = f(req)
+                if not rows:
+                    return {"seq": seq - 1, **out}
+                if self.files.claim(f"log/{seq:012d}.claim"):
+                    break
+                # another process took the number: what was checked may no longer hold
+                while not self.files.exists(f"log/{seq:012d}.json"):
+                    taken = self.files.fs.getFileStatus(self.files._path(f"log/{seq:012d}.claim")).getModificationTime()
+                    if time.time() * 1000 - taken > 60_000:  # its writer is gone: the number stays empty
+                        self.files.put(f"log/{seq:012d}.json", json.dumps({"seq": seq, "op": "none", "at": self.clock(), "actor": "", "rows": []}).encode())
+                    time.sleep(0.05)
             line = json.dumps({"seq": seq, "op": req["op"], "at": self.clock(), "actor": actor, "rows": [{"t": t, "row": json.dumps(r, ensure_ascii=False)} for t, r in rows]}, ensure_ascii=False)
-            part = self.root / "log" / f".{seq:012d}.part"
-            part.write_text(line + "\n", encoding="utf-8")
-            part.rename(self.root / "log" / f"{seq:012d}.json")  # a torn write never shows
-            self.seq = seq
+            self.files.put(f"log/{seq:012d}.json", (line + "\n").encode())
             return {"seq": seq, **out}
 
     def _exists(self, table: str, col: str, value: str) -> bool:
@@ -149,12 +207,16 @@ class KnowledgeBase:
 
     def _w_propose_assertion(self, q: dict):  # noqa: ANN202
         subject, predicate, obj = _need(q, "subject", "predicate", "object")
+        if not self._exists("resources", "resource_id", subject):
+            raise KbError("not_found", subject)
+        if predicate in ("same_as", "possibly_same_as", "distinct_from") and obj.get("resource") == subject:
+            raise KbError("invalid", "a resource is not compared with itself")
         kind = next((k for k in ("resource", "time", "quantity", "text") if k in obj), "unknown")
         o = {"kind": kind, "resource": obj.get("resource"), "text": obj.get("text"), "lang": obj.get("lang"), "amount": obj.get("quantity"), "unit": obj.get("unit"), "moment": obj.get("time")}
         now, when = self.clock(), parse(obj.get("time") or q.get("valid_time"), self.clock(), q.get("offset_min", 0))
         r, cid = when.range, q.get("id") or new_id("asr")
         row = {"claim_id": cid, "subject": subject, "predicate": predicate, "object": o, "negated": bool(q.get("negated")), "branch_id": q.get("branch", MAIN), "first_known_at": q.get("acquired_at", now), "created_at": now, "axis": q.get("calendar") or "gregorian",
-               **({"es": r.es, "ls": r.ls, "ee": r.ee, "le": r.le} if r else {}), **{k: q.get(k) for k in ("valid_time", "calendar", "canon", "timeline", "source_reliability", "extraction_conf", "visibility", "license", "note")}}
+               **({"es": r.es, "ls": r.ls, "ee": r.ee, "le": r.le} if r else {}), **{k: q.get(k) for k in ("valid_time", "calendar", "canon", "timeline", "source_reliability", "extraction_conf", "visibility", "license", "note", "supersedes")}}
         ev = [("evidence", {"claim_id": cid, **e}) for e in q.get("evidence") or []]
         return [("assertions", row), ("status_changes", {"claim_id": cid, "status": q.get("status", "accepted"), "basis_at": row["first_known_at"]}), *ev], {"id": cid, "resolved": r is not None}
 
@@ -171,7 +233,10 @@ class KnowledgeBase:
         return self._status(q, "disputed")
 
     def _w_accept(self, q: dict):  # noqa: ANN202
-        return self._status(q, "accepted")
+        """Also supersedes the claim that this one was proposed to replace."""
+        rows, out = self._status(q, "accepted")
+        old = self.table("assertions").filter(F.col("claim_id") == q["id"]).first()["supersedes"]
+        return [*rows, *([("status_changes", {**rows[0][1], "claim_id": old, "status": "superseded", "superseded_by": q["id"]})] if old else [])], out
 
     def _w_verify(self, q: dict):  # noqa: ANN202
         return self._status(q, None, verified=True)
@@ -179,7 +244,10 @@ class KnowledgeBase:
     def _w_supersede(self, q: dict):  # noqa: ANN202
         rows, _ = self._status(q, "superseded")
         (new,) = _need(q, "by")
-        made, out = self._w_propose_assertion(new)
+        old = self.table("assertions").filter(F.col("claim_id") == q["id"]).first()
+        if (new.get("subject", old["subject"]), new.get("predicate", old["predicate"])) != (old["subject"], old["predicate"]):
+            raise KbError("invalid", "a claim is superseded by one of the same subject and predicate")
+        made, out = self._w_propose_assertion({**new, "subject": old["subject"], "predicate": old["predicate"], "supersedes": q["id"]})
         rows[0][1]["superseded_by"] = out["id"]
         return [*made, *rows], out
 
@@ -221,18 +289,16 @@ class KnowledgeBase:
         return None if key is None else bytes(self.spark.range(1).select(F.aes_decrypt(F.unbase64(F.lit(body)), F.lit(bytearray(key)), F.lit("GCM"))).first()[0])
 
     def _key(self, key_id: str) -> bytes | None:
-        p = self.root / "vault" / key_id
-        return p.read_bytes() if p.exists() else None
+        return self.files.read(f"vault/{key_id}")
 
     def _w_create_key(self, q: dict):  # noqa: ANN202
         kid = q.get("id") or new_id("key")
-        (self.root / "vault").mkdir(exist_ok=True)
-        (self.root / "vault" / kid).write_bytes(secrets.token_bytes(32))  # never in the log
+        self.files.put(f"vault/{kid}", secrets.token_bytes(32))  # never in the log
         return [], {"id": kid}
 
     def _w_shred_key(self, q: dict):  # noqa: ANN202
         (kid,) = _need(q, "id")
-        (self.root / "vault" / kid).unlink(missing_ok=True)
+        self.files.remove(f"vault/{kid}")
         return [], {"id": kid}
 
     def _w_link_source(self, q: dict):  # noqa: ANN202
@@ -242,7 +308,7 @@ class KnowledgeBase:
         old = self.table("sources").filter(F.col("locator") == locator).first()
         sid = old["source_id"] if old else new_id("src")
         if not old:
-            rows.append(("sources", {"source_id": sid, "source": q.get("title"), "locator": locator, "owner": owner, **{k: q.get(k) for k in ("kind", "title", "origin", "reliability", "license", "visibility")}}))
+            rows.append(("sources", {"source_id": sid, "source": q.get("title"), "locator": locator, "owner": owner, **{k: q.get(k) for k in ("kind", "title", "origin", "provenance_root", "reliability", "license", "visibility")}}))
         raw, digest = self._body(q.get("acquisition") or {})
         aq = new_id("acq")
         a = q.get("acquisition") or {}
@@ -262,7 +328,8 @@ class KnowledgeBase:
         rows, done, seen = [], [], {}
         wanted = [F.lit(e["event_id"]) for e in events]
         old = {(r.owner, r.event_id): r.hash for r in known.filter(F.col("event_id").isin([e["event_id"] for e in events])).select("owner", "event_id", "hash").collect()} if wanted else {}
-        taken = {(r.owner, r.conversation, r.sequence): r.event_id for r in known.filter(F.col("conversation").isin([e["conversation"] for e in events])).select("owner", "conversation", "sequence", "event_id").collect()}
+        asked = self.spark.createDataFrame([(e.get("owner"), e.get("conversation"), e.get("sequence")) for e in events], "owner string, conversation string, sequence bigint").distinct()
+        taken = {(r.owner, r.conversation, r.sequence): r.event_id for r in known.join(F.broadcast(asked), ["owner", "conversation", "sequence"]).select("owner", "conversation", "sequence", "event_id").collect()}  # at most one a place asked for
         for e in events:
             owner, conv, eid = _need(e, "owner", "conversation", "event_id")
             raw, digest = self._body(e)
@@ -292,7 +359,12 @@ class KnowledgeBase:
 
     _w_add_observation = _plain("observations", "obs", "obs_id", "target", "metric", "observed_at", "recorded_at", "value", "unit", "acquisition", "branch_id", need=("target", "metric", "observed_at"))
     _w_propose_predicate = _plain("predicates", None, "key", "functional", "role", "status", need=("key",))
-    _w_accept_predicate = _plain("predicates", None, "key", "functional", "role", "status", need=("key",))
+    def _w_accept_predicate(self, q: dict):  # noqa: ANN202
+        (key,) = _need(q, "key")
+        if not self._exists("predicates", "key", key):
+            raise KbError("not_found", key)
+        return [("predicates", {"key": key, "status": "accepted", **{k: q[k] for k in ("functional", "role") if q.get(k) is not None}})], {"id": key}
+
     _w_propose_type = _plain("types", None, "type_key", "label", "parents", "status", need=("type_key",))
     _w_define_calendar = _plain("calendars", None, "key", "axis", "kind", "body", need=("key", "axis"))
     _w_define_frame = _plain("frames", None, "key", "parent", "matrix", need=("key",))
@@ -301,7 +373,12 @@ class KnowledgeBase:
     _w_define_sequence = _plain("sequences", "seq", "sequence", "scope", "kind", "items", need=("scope", "items"))
     _w_define_table = _plain("datasets", "tbl", "dataset", "pk", "columns", need=("pk", "columns"))
     _w_link_row = _plain("row_links", None, "dataset", "row_key", "resource", need=("dataset", "row_key", "resource"))
-    _w_set_embedding = _plain("embeddings", None, "resource_id", "space", "embedding", need=("resource_id", "space", "embedding"))
+    def _w_set_embedding(self, q: dict):  # noqa: ANN202
+        rid, space, v = _need(q, "resource_id", "space", "embedding")
+        other = self.table("embeddings").filter((F.col("space") == space) & (F.size("embedding") != len(v)))
+        if not v or not other.isEmpty():
+            raise KbError("invalid", f"space {space} has another dimension")
+        return [("embeddings", {"resource_id": rid, "space": space, "embedding": v})], {"id": rid}
 
     def _w_add_trajectory(self, q: dict):  # noqa: ANN202
         target, samples = _need(q, "target", "samples")
@@ -347,11 +424,15 @@ class KnowledgeBase:
             seen = seen | ((F.col("branch_id") == b) if limit is None else (F.col("branch_id") == b) & (F.col("seq") <= limit))
         at = v.get("as_known_at")
         a = self.table("assertions").filter(seen)
+        # evidence acquired before a claim was written makes it known earlier
+        first = self.table("evidence").join(self.table("acquisitions").select("acquisition", "acquired_at"), "acquisition").groupBy("claim_id").agg(F.min("acquired_at").alias("_first"))
+        a = a.join(first, "claim_id", "left").withColumn("first_known_at", F.least("first_known_at", "_first")).drop("_first")
         s = self.table("status_changes")
+        of = a.select("claim_id", F.col("seq").alias("_made"), F.col("first_known_at").alias("_known"))
+        s = s.join(of, "claim_id").withColumn("basis_at", F.when(F.col("seq") == F.col("_made"), F.least("basis_at", "_known")).otherwise(F.col("basis_at")))
         if at is not None:
             a, s = a.filter(F.col("first_known_at") <= at), s.filter(F.col("basis_at") <= at)
-        branch_of = a.select("claim_id", F.col("branch_id").alias("_b"))
-        now = s.join(branch_of, "claim_id").groupBy("claim_id").agg(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"), F.coalesce(F.bool_or("verified"), F.lit(False)).alias("human_verified"))
+        now = s.groupBy("claim_id").agg(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"), F.coalesce(F.bool_or("verified"), F.lit(False)).alias("human_verified"))
         out = a.join(now, "claim_id").filter(F.col("status").isin(*(v.get("status") or claims.LIVE)))
         for k in ("canon", "timeline"):
             if v.get(k):
@@ -359,6 +440,27 @@ class KnowledgeBase:
         who = claims.Principal(**v.get("principal", {}))
         return out.filter(who.sees(F.col("visibility")))
 
+    def evidence(self) -> DataFrame:
+        """What claims rest on: root, origin and reliability of the sources, confidence and models of the derivations."""
+        src = self.table("sources").dropDuplicates(["source_id"]).select("source_id", F.coalesce("provenance_root", "source_id").alias("root"), "origin", "reliability")
+        acq = self.table("acquisitions").dropDuplicates(["acquisition"]).select("acquisition", "source_id")
+        return self.table("evidence").join(acq, "acquisition").join(src, "source_id").select("claim_id", "root", "origin", "reliability", F.lit(None).cast("double").alias("extraction_conf"), F.col("model").isNotNull().alias("ai"))
+
+    def policy(self, key: str | None) -> claims.RankPolicy:
+        if key is None:
+            return claims.RankPolicy()
+        row = self.table("rank_policies").filter(F.col("key") == key).orderBy(F.desc("seq")).first()
+        if row is None:
+            raise KbError("not_found", key)
+        return claims.RankPolicy(**json.loads(row["body"]))
+
+    def evaluated(self, view: dict | None = None, c: DataFrame | None = None) -> DataFrame:
+        return claims.evaluate(self.claims(view) if c is None else c, self.policy((view or {}).get("rank_policy")), evidence=self.evidence())
+
+    def summarized(self, ev: DataFrame) -> DataFrame:
+        one = self.table("predicates").groupBy(F.col("key").alias("predicate")).agg(F.max_by("functional", F.when(F.col("functional").isNotNull(), F.col("seq"))).alias("f")).filter("f")
+        return claims.summarize(ev, one)
+
     def redirects(self) -> DataFrame:
         ok = self.table("merge_decisions").filter("approved").select("merge_id").distinct()
         one = self.table("merge_proposals").join(ok, "merge_id").groupBy(F.col("from_id").alias("id")).agg(F.max_by("into_id", "seq").alias("into"))
@@ -370,13 +472,13 @@ class KnowledgeBase:
 
     def facts(self, view: dict | None = None) -> DataFrame:
         """One row per resource: label, types, rank, contested, preferred time, places with all that contain them."""
-        c = self.claims(view)
-        ev = claims.evaluate(c)
+        ev = self.evaluated(view)
         ranked = ev.groupBy(F.col("subject").alias("resource_id")).agg(F.max("rank").alias("rank"), F.min("first_known_at").alias("known_from"))
-        cont = claims.summarize(ev).groupBy(F.col("subject").alias("resource_id")).agg(F.bool_or("contested").alias("contested"))
+        cont = self.summarized(ev).groupBy(F.col("subject").alias("resource_id")).agg(F.bool_or("contested").alias("contested"))
         yes = ev.filter("not negated")
-        w = W.partitionBy("subject").orderBy(F.desc("rank"), "claim_id")
-        when = yes.filter("predicate = 'occurred_at' and es is not null").withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col("subject").alias("resource_id"), "axis", F.struct("es", "ls", "ee", "le").alias("time"))
+        when = claims.event_times(ev).withColumnRenamed("subject", "resource_id").drop("status")
+        part = yes.filter(F.col("predicate").isin("part_of_work", "appears_in") & F.col("object.resource").isNotNull()).select(F.col("subject").alias("node"), F.col("object.resource").alias("up"))
+        works = graph.closure(part).groupBy(F.col("node").alias("resource_id")).agg(F.array_sort(F.collect_set("above")).alias("works"))
         into = yes.filter(F.col("predicate").isin("located_in", "inside")).select(F.col("subject").alias("node"), F.col("object.resource").alias("up"))
         holds = yes.filter("predicate = 'contains'").select(F.col("object.resource").alias("node"), F.col("subject").alias("up"))
         above = graph.closure(into.unionByName(holds), max_depth=32)
@@ -388,21 +490,26 @@ class KnowledgeBase:
         # a resource without a placement of its own has that of its one most specific place
         given = at.join(place.select(F.col("resource_id").alias("place"), F.col("placement").alias("_pp")), "place").groupBy("resource_id").agg(F.count("*").alias("_n"), F.first("_pp").alias("_pp"), F.first("place").alias("_from")).filter("_n = 1")
         out = self.resources()
-        for d in (ranked, cont, when, anc, ent, place, given):
+        for d in (ranked, cont, when, works, anc, ent, place, given):
             out = out.join(d, "resource_id", "left")
         inherited = F.col("placement").isNull() & F.col("_pp").isNotNull()
         return out.withColumn("placement_inherited_from", F.when(inherited, F.col("_from"))).withColumn("placement", F.coalesce("placement", "_pp")).withColumn("contested", F.coalesce("contested", F.lit(False))).withColumnRenamed("resource_id", "canonical_id").drop("_n", "_pp", "_from")
 
     def materialize(self, branch: str = MAIN) -> int:
-        out = self.root / "projection" / f"branch={branch}"
-        self.facts({"branch": branch}).withColumn("materialized_seq", F.lit(self.seq)).write.mode("overwrite").parquet(str(out))
-        return self.spark.read.parquet(str(out)).count()
+        """Write the facts of a branch as a new version; readers follow the newest pointer."""
+        name, seq = f"_projection-{branch}", self.seq
+        p, folder = self._pointer(name), f"rows-{uuid.uuid4().hex}"
+        at = self.files.at(f"base/{name}/{folder}")
+        self.facts({"branch": branch}).withColumn("materialized_seq", F.lit(seq)).write.parquet(at)
+        self._point(name, {**p, "dirs": []}, folder, seq)
+        return self.spark.read.parquet(at).count()
 
     # -- reads
 
     def query(self, req: dict) -> dict:
         """results, with warnings and the time taken; budget_ms is required, and work beyond it is cancelled and reported as truncated."""
         f = getattr(self, f"_q_{req.get('op')}", None)
+        self.warnings = []
         if f is None:
             raise KbError("invalid", f"unknown operation {req.get('op')!r}")
         (budget,) = _need(req, "budget_ms")
@@ -412,7 +519,7 @@ class KnowledgeBase:
         timer.start()
         try:
             out = f(req)
-            results = [json.loads(r.j) for r in out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()] if isinstance(out, DataFrame) else out
+            results = [json.loads(r.j) for r in out.limit(self._limit(req, 1000, 10_000)).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()] if isinstance(out, DataFrame) else out
         except Exception:
             if not late.is_set():
                 raise
@@ -420,7 +527,7 @@ class KnowledgeBase:
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
-        return {"results": results, "truncated": late.is_set(), "elapsed_ms": round((time.time() - began) * 1000), "freshness": {"head": self.seq}}
+        return {"results": results, "truncated": late.is_set(), "elapsed_ms": round((time.time() - began) * 1000), "freshness": {"head": self.seq}, "warnings": self.warnings}
 
     def _limit(self, q: dict, default: int, most: int = 500) -> int:
         return max(1, min(most, q.get("limit", default)))
@@ -440,28 +547,68 @@ class KnowledgeBase:
         hit = hit.join(merged, "resource_id", "left_anti")
         return hit.withColumn("ambiguous", F.count("*").over(W.partitionBy()) > 1)
 
+    def _subtypes(self, types: list[str]) -> DataFrame:
+        """(type): the types asked for with all below them, built-in ones included; not_found for one that nothing knows."""
+        own = self.table("types").select(F.col("type_key").alias("node"), F.explode_outer("parents").alias("up"))
+        sub = graph.closure(own.unionByName(self.spark.createDataFrame(list(BUILTIN_TYPES.items()), "node string, up string")))
+        asked = self.spark.createDataFrame([(t,) for t in types], "type string")
+        used = self.table("resources").select(F.explode("types").alias("type"))
+        strange = asked.join(sub.select(F.col("node").alias("type")), "type", "left_anti").join(self.table("types").select(F.col("type_key").alias("type")), "type", "left_anti").join(used, "type", "left_anti").first()
+        if strange is not None:
+            raise KbError("not_found", strange["type"])
+        return asked.join(sub.select(F.col("above").alias("type"), "node"), "type").select(F.col("node").alias("type")).unionByName(asked).distinct()
+
     def _q_search(self, q: dict):  # noqa: ANN202
         p = self.facts(q)
         sp, t = q.get("space") or {}, q.get("time") or {}
+        if q.get("types"):
+            p = p.join(p.select("canonical_id", F.explode("types").alias("type")).join(small(self._subtypes(q["types"])), "type", "left_semi").select("canonical_id").distinct(), "canonical_id", "left_semi")
+        for k, col in (("entities", "entities"), ("works", "works")):
+            for e in q.get(k) or []:
+                p = p.filter(F.array_contains(col, self._one(e)))
+        near = sp.get("near")
+        limit, order = self._limit(q, 20), q.get("order_by", "rank")
+        s = search.Search(within_place=sp.get("within_place"), bbox=tuple(sp["bbox"]) if sp.get("bbox") else None, near=(*near["at"], near["radius"]) if near else None, include_inherited=bool(sp.get("include_inherited")),
+                          text=q.get("text"), min_rank=q.get("min_rank"), contested_only=bool(q.get("contested_only")), order_by=order, limit=limit)
+        for f in s.filters():
+            p = p.filter(f)
+        p = p.withColumn("matched_alternative_time", F.lit(False))
         if t:
             lo, hi = (parse(t.get(k), self.clock()) if t.get(k) else None for k in ("from", "to"))
             if t.get("expression"):
                 lo = hi = parse(t["expression"], self.clock())
             qs = F.lit(lo.range.es if lo and lo.range else fuzzy.NEG_INF)
             qe = F.lit(hi.range.le if hi and hi.range else fuzzy.POS_INF)
-            test = {"possibly": fuzzy.possibly_overlaps, "certainly": fuzzy.certainly_overlaps, "within": fuzzy.lies_within}[t.get("mode", "possibly")](F.col("time"), qs, qe)
+            mode = t.get("mode", "possibly")
+            test = {"possibly": fuzzy.possibly_overlaps, "certainly": fuzzy.certainly_overlaps, "within": fuzzy.lies_within}[mode]
             same = F.col("axis") == (q.get("calendar") or "gregorian")
-            p = p.filter(F.coalesce(test & same, F.lit(bool(t.get("include_undated"))) & F.col("time").isNull()))
-        for e in q.get("entities") or []:
-            p = p.filter(F.array_contains("entities", e))
-        near = sp.get("near")
-        s = search.Search(types=tuple(q.get("types") or ()), within_place=sp.get("within_place"), bbox=tuple(sp["bbox"]) if sp.get("bbox") else None, near=(*near["at"], near["radius"]) if near else None, include_inherited=bool(sp.get("include_inherited")),
-                          text=q.get("text"), min_rank=q.get("min_rank"), contested_only=bool(q.get("contested_only")), order_by=q.get("order_by", "rank"), limit=self._limit(q, 20))
-        if s.types:  # a type stands for its subtypes
-            sub = graph.closure(self.table("types").select(F.col("type_key").alias("node"), F.explode_outer("parents").alias("up")))
-            wanted = [r.node for r in sub.filter(F.col("above").isin(*s.types)).select("node").distinct().collect()]
-            s = search.Search(**{**s.__dict__, "types": tuple({*s.types, *wanted})})
-        return s.run(p).select("canonical_id", "label", "types", "time", "axis", "places", "place_ancestors", "rank", "contested", "placement_inherited_from", "score")
+            other = p.filter(~same & F.col("time").isNotNull()).count()
+            if other:
+                self.warnings.append(f"comparable: false for {other} rows on another axis")
+            hit = same & test(F.col("time"), qs, qe)
+            if mode == "possibly":  # claims that lost to the preferred one may still say so
+                p = p.withColumn("matched_alternative_time", F.coalesce(same & ~hit & F.exists("alternatives", lambda a: fuzzy.possibly_overlaps(a, qs, qe)), F.lit(False)))
+            undated = F.col("time").isNull() if t.get("include_undated") else F.lit(False)
+            p = p.filter(F.coalesce(hit, F.lit(False)) | F.col("matched_alternative_time") | undated)
+        score = s.relevance() if order == "relevance" else F.coalesce("rank", F.lit(0.0))
+        if q.get("vector"):  # the nearest only
+            close = self.nearest(*_need(q["vector"], "space", "embedding"), k=max(5 * limit, 100)).select(F.col("resource_id").alias("canonical_id"), F.col("score").alias("_cos"))
+            p = p.join(F.broadcast(close), "canonical_id")  # k rows
+            score = score + F.col("_cos") if order == "relevance" else score
+        p = p.withColumn("score", F.round(score, 6))
+        by = [F.col("time.es").asc_nulls_last()] if order == "time" else [F.desc("score")]
+        return p.orderBy(*by, "canonical_id").limit(limit).select("canonical_id", "label", "types", "time", "axis", "matched_alternative_time", "places", "place_ancestors", "rank", "contested", "placement_inherited_from", "score")
+
+    def _one(self, ref: str) -> str:
+        """The id that an id or an external id stands for."""
+        if ":" in ref:
+            scheme, _, val = ref.partition(":")
+            hit = self.resources().filter(F.array_contains("external_ids", f"{scheme.lower()}:{val}")).orderBy("resource_id").first()
+            if hit is None:
+                raise KbError("not_found", ref)
+            ref = hit["resource_id"]
+        to = self.redirects().filter(F.col("id") == ref).first()
+        return to["final"] if to else ref
 
     def _q_similar(self, q: dict):  # noqa: ANN202
         return search.similar(self.facts(q), _need(q, "id")[0], limit=self._limit(q, 10))
@@ -477,10 +624,15 @@ class KnowledgeBase:
             c = c.filter(F.col("predicate").isin(*q["predicates"]))
         if q.get("valid_at") is not None:
             c = c.filter(F.col("valid_time").isNull() | F.col("es").isNull() | ((F.col("es") <= q["valid_at"]) & (F.col("le") > q["valid_at"])))
-        e = claims.evaluate(c)
-        s = claims.summarize(e).drop("subject")
+        e = self.evaluated(q, c)
+        s = self.summarized(e).drop("subject")
         g = e.groupBy("predicate").agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("order"), "claim_id", "object", "negated", "status", "independent"))).alias("claims"))
-        return s.groupBy("predicate").agg(F.max("preferred").alias("preferred"), F.bool_or("contested").alias("contested")).join(g, "predicate", "right").orderBy("predicate")
+        out = s.groupBy("predicate").agg(F.max("preferred").alias("preferred"), F.bool_or("contested").alias("contested")).join(g, "predicate", "right")
+        if q.get("include_incoming"):
+            inc = self.evaluated(q, self.claims(v).filter(F.col("object.resource") == rid)).orderBy(F.desc("rank"), "claim_id").limit(200)
+            inc = inc.groupBy(F.concat(F.lit("incoming:"), "predicate").alias("predicate")).agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("order"), "claim_id", "object", "negated", "status", "independent"))).alias("claims"))
+            out = out.unionByName(inc.select("predicate", F.lit(None).cast("string").alias("preferred"), F.lit(False).alias("contested"), "claims"))
+        return out.orderBy("predicate")
 
     def _q_get_acquisition(self, q: dict):  # noqa: ANN202
         a = self.table("acquisitions").join(self.table("sources").drop("seq").dropDuplicates(["source_id"]), "source_id", "left")
@@ -579,14 +731,13 @@ class KnowledgeBase:
     def _q_conflicts(self, q: dict):  # noqa: ANN202
         c = self.claims(q)
         c = c.filter(F.col("subject") == q["id"]) if q.get("id") else c
-        e = claims.evaluate(c)
-        bad = claims.summarize(e).filter("contested").select("subject", "predicate")
+        e = self.evaluated(q, c)
+        bad = self.summarized(e).filter("contested").select("subject", "predicate")
         return e.join(bad, ["subject", "predicate"], "left_semi").select("subject", "predicate", "claim_id", "object", "negated", "status", "rank").orderBy("subject", "predicate", F.desc("rank"), "claim_id").limit(self._limit(q, 50))
 
     def _q_freshness(self, q: dict):  # noqa: ANN202
-        p = self.root / "projection" / f"branch={q.get('branch', MAIN)}"
-        done = (self.spark.read.parquet(str(p)).agg(F.max("materialized_seq").alias("m")).first()["m"] or 0) if p.exists() else 0
-        return [{"head": self.seq, "materialized": done, "consistent": done == self.seq}]
+        done = self._pointer(f"_projection-{q.get('branch', MAIN)}")["seq"]
+        return [{"head": self.seq, "materialized": done, "behind": self.seq - done, "consistent": done == self.seq}]
 
     def _q_observations(self, q: dict):  # noqa: ANN202
         o = self.table("observations").filter(F.col("target") == _need(q, "target")[0])
@@ -600,10 +751,12 @@ class KnowledgeBase:
     def _q_position_at(self, q: dict):  # noqa: ANN202
         target, at = _need(q, "target", "at")
         s = self.table("samples").filter(F.col("target") == target)
-        how = s.select("how").first()
-        out = None
+        span = s.groupBy("trajectory").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("how").alias("how")).filter((F.col("a") <= at) & (F.col("b") >= at)).orderBy("a", "trajectory").first()
+        if span is None:  # between two trajectories a target is nowhere
+            return []
+        s, out = s.filter(F.col("trajectory") == span["trajectory"]), None
         for c in ("x", "y", "z"):
-            part = series.position_at(s.select("target", "t", F.col(c).alias("x")).filter("x is not null"), at, how=how["how"] if how else "linear").withColumnRenamed("x", c)
+            part = series.position_at(s.select("target", "t", F.col(c).alias("x")).filter("x is not null"), at, how=span["how"]).withColumnRenamed("x", c)
             out = part if out is None else out.join(part, "target", "left")
         return out
 
@@ -643,7 +796,13 @@ class KnowledgeBase:
         return e.drop("seq").join(self.table("assertions").select("claim_id", "subject", "predicate"), "claim_id").orderBy("extracted_at", "claim_id").limit(self._limit(q, 100))
 
     def _q_vocabulary(self, q: dict):  # noqa: ANN202
-        return self.table({"predicates": "predicates", "types": "types", "calendars": "calendars", "frames": "frames"}[_need(q, "kind")[0]])
+        kind = _need(q, "kind")[0]
+        if kind not in ("predicates", "types", "calendars", "frames"):
+            raise KbError("invalid", f"unknown vocabulary {kind!r}")
+        t = self.table(kind)
+        key = "type_key" if kind == "types" else "key"
+        rest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in t.columns if c not in (key, "seq")]  # the latest that was told
+        return t.groupBy(key).agg(*rest).orderBy(key).limit(self._limit(q, 500))
 
     def _q_table_rows(self, q: dict):  # noqa: ANN202
         (ds,) = _need(q, "table")
@@ -651,7 +810,7 @@ class KnowledgeBase:
         return self.table("dataset_rows").filter(F.col("dataset") == ds).select("row_key", "body").join(links, "row_key", "left").orderBy("row_key").limit(self._limit(q, 100))
 
     def _q_revisions(self, q: dict):  # noqa: ANN202
-        return self.log().select("seq", "op", "at", "actor", F.size("rows").alias("rows")).orderBy(F.desc("seq")).limit(self._limit(q, 20))
+        return self.revisions().orderBy(F.desc("seq")).limit(self._limit(q, 20))
 
     # -- vectors and export
 

@@ -86,7 +86,7 @@ class RankPolicy:
         num = sum((F.when(v.isNotNull(), w * F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))).otherwise(F.lit(0.0)) for w, v in parts), F.lit(0.0))
         den = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for w, v in parts), F.lit(0.0))
         factor = F.when(status == "accepted", 1.0).when(status == "proposed", self.proposed).when(status == "disputed", self.disputed).otherwise(0.0)
-        return F.least(F.lit(0.999999), num / den * factor)
+        return F.least(F.lit(0.999999), F.when(den > 0, num / den).otherwise(0.0) * factor)
 
 
 # Kinds of origin from the best to the worst.

@@ -20,8 +20,8 @@ def closure(edges: DataFrame, *, max_depth: int | None = None, reflexive: bool =
     """
     e = cut(edges.select("node", "up").filter("node is not null and up is not null").distinct())
     known = e.select("node", F.col("up").alias("above"), F.lit(1).alias("depth")).filter("node <> above")
-    reach = 1
-    while max_depth is None or reach < max_depth:
+    reach, some = 1, not e.isEmpty()
+    while some and (max_depth is None or reach < max_depth):
         far = known.filter(F.col("depth") == reach).select("node", F.col("above").alias("_mid"))
         on = known.select(F.col("node").alias("_mid"), "above", F.col("depth").alias("_d"))
         fresh = far.join(on, "_mid").filter("node <> above").groupBy("node", "above").agg((F.min("_d") + reach).alias("depth"))
@@ -42,8 +42,8 @@ def follow_redirects(redirects: DataFrame, *, max_hops: int = 16) -> DataFrame:
 
     ``redirects`` has id, into, one row per id. Hops double with each round.
     """
-    at = redirects.select("id", F.col("into").alias("final"))
-    hops = 1
+    at = cut(redirects.select("id", F.col("into").alias("final")))
+    hops = max_hops if at.isEmpty() else 1
     while hops < max_hops:
         nxt = at.select(F.col("id").alias("final"), F.col("final").alias("_far"))
         at = cut(at.join(nxt, "final", "left").select("id", F.coalesce("_far", "final").alias("final")))
