@@ -21,12 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almagest.functions import allen, fuzzy, text, vectors
 from almagest.functions.ids import canonical_id
 from almagest.functions.temporal_text import parse
 from almagest.operators import claims, graph, search, series
-from almagest.plans import small
+from almagest.plans import cut, small
 from almagest.sources.files import Files
 
 _OBJECT = "struct<kind:string,resource:string,text:string,lang:string,amount:double,unit:string,moment:string>"
@@ -46,6 +47,7 @@ TABLES = {
 }
 _LOG = "seq bigint, op string, at bigint, actor string, rows array<struct<t:string,row:string>>"
 MAIN = "main"
+RECENT, RECENT_CHARS = 2_000, 1_000_000  # revisions since the last compaction that the driver reads itself, at most
 # Built-in types, each with the one above it.
 BUILTIN_TYPES = {
     child: parent
@@ -83,6 +85,7 @@ class KnowledgeBase:
         self.files = Files(spark, root)
         self.lock = threading.Lock()
         self.warnings: list[str] = []
+        self.read: dict[str, dict] = {}
 
     @property
     def seq(self) -> int:
@@ -106,7 +109,23 @@ class KnowledgeBase:
     def _base(self, name: str, p: dict) -> DataFrame | None:
         return self.spark.read.schema(f"seq bigint, {TABLES[name]}").parquet(*[self.files.at(f"base/{name}/{d}") for d in p["dirs"]]) if p["dirs"] else None
 
+    def _recent(self, after: int, until: int | None) -> list[dict] | None:
+        """The revisions after one, read by the driver, if they are few and small; else None. Files never change, so each is read once."""
+        names = [n for n in self.files.names("log") if n.endswith(".json") and after < int(n[:-5]) and (until is None or int(n[:-5]) <= until)]
+        if len(names) > RECENT:
+            return None
+        for n in names:
+            if n not in self.read:
+                self.read[n] = json.loads(self.files.read(f"log/{n}"))
+        found = [self.read[n] for n in sorted(names)]
+        return found if sum(len(r["row"]) for x in found for r in x["rows"]) <= RECENT_CHARS else None
+
     def _tail(self, name: str, after: int, until: int | None = None) -> DataFrame:
+        schema = T.StructType([T.StructField("seq", T.LongType()), *T.StructType.fromDDL(TABLES[name]).fields])
+        few = self._recent(after, until)
+        if few is not None:  # a literal, so that plans know how small it is
+            rows = [f'{{"seq": {x["seq"]}, {r["row"].strip()[1:]}' for x in few for r in x["rows"] if r["t"] == name]
+            return self.spark.range(1).select(F.explode(F.from_json(F.lit(f"[{', '.join(rows)}]"), T.ArrayType(schema))).alias("x")).select("x.*")
         log = self.log().filter(F.col("seq") > after)
         rows = (log if until is None else log.filter(F.col("seq") <= until)).select("seq", F.explode("rows").alias("r")).filter(F.col("r.t") == name)
         return rows.select("seq", F.from_json("r.row", TABLES[name]).alias("x")).select("seq", "x.*")
@@ -141,6 +160,7 @@ class KnowledgeBase:
         self._point("_revisions", p, folder, until)
         old = [n for n in self.files.names("log") if n[:12].isdigit() and int(n[:12]) <= until]
         for n in old:
+            self.read.pop(n, None)
             self.files.remove(f"log/{n}")
         return len(old)
 
@@ -472,7 +492,7 @@ class KnowledgeBase:
 
     def facts(self, view: dict | None = None) -> DataFrame:
         """One row per resource: label, types, rank, contested, preferred time, places with all that contain them."""
-        ev = self.evaluated(view)
+        ev = cut(self.evaluated(view))  # read by all that follows
         ranked = ev.groupBy(F.col("subject").alias("resource_id")).agg(F.max("rank").alias("rank"), F.min("first_known_at").alias("known_from"))
         cont = self.summarized(ev).groupBy(F.col("subject").alias("resource_id")).agg(F.bool_or("contested").alias("contested"))
         yes = ev.filter("not negated")
