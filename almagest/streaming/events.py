@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-EVENT = "owner string, conversation string, event_id string, sequence bigint, content string"
-
+from almagest.sources.files import Files
 
-def _exists(path: str) -> bool:
-    return Path(path).exists()
+EVENT = "owner string, conversation string, event_id string, sequence bigint, content string"
 
 
 def ingest_events(events: DataFrame, target: str, conflicts: str, checkpoint: str) -> StreamingQuery:
@@ -29,7 +26,7 @@ def ingest_events(events: DataFrame, target: str, conflicts: str, checkpoint: st
         b = batch.withColumn("hash", F.sha2("content", 256))
         first = b.groupBy("owner", "event_id").agg(F.min(F.struct("sequence", "conversation", "content", "hash")).alias("x"), F.count_distinct("hash").alias("_v"))
         one = first.select("owner", "event_id", "x.*", "_v")
-        if _exists(target):
+        if Files(spark, target).exists(""):
             old = spark.read.parquet(target).filter(F.col("batch") < number)
             known = old.select("owner", "event_id", F.col("hash").alias("_h"))
             taken = old.select("owner", "conversation", "sequence", F.col("event_id").alias("_e"))
@@ -72,21 +69,28 @@ def sequence_gaps(events: DataFrame) -> DataFrame:
 
 
 def follow_facts(facts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest state of each resource in ``target`` as states arrive, late ones too: only resources of the batch are recomputed.
+    """Keep the latest state of each resource in ``target`` as states arrive, late ones too.
 
-    Each batch writes a new version of the table and then the name of the version in use, so readers never see half of one.
+    Each batch reads the table, writes a new version of it and then the name of the version in use, so readers never see
+    half of one; the version before the last is removed.
     """
     from almagest.operators.search import latest_states
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, now = batch.sparkSession, Path(target) / "current"
-        old = spark.read.parquet(f"{target}/{now.read_text()}") if now.exists() else None
+        spark, files = batch.sparkSession, Files(batch.sparkSession, target)
+        now = (files.read("current") or b"").decode()
+        if now == f"v{number}":  # a batch replayed after it was done
+            return
+        old = spark.read.parquet(f"{target}/{now}") if now else None
         rows = batch if old is None else old.select(*batch.columns).unionByName(batch)
         latest_states(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v{number}")
-        now.write_text(f"v{number}")
+        files.put("current", f"v{number}".encode())
+        for n in files.names(""):
+            if n.startswith("v") and n not in (now, f"v{number}"):
+                files.remove(n)
 
     return facts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/{(Path(target) / 'current').read_text()}")
+    return spark.read.parquet(f"{target}/{Files(spark, target).read('current').decode()}")
