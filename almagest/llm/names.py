@@ -61,37 +61,34 @@ def _fid(form: tuple[str, str]) -> int:
 
 
 def _formed(df: DataFrame, text: str, known: bool) -> DataFrame:
-    """(text column, fid, fam, s, near): the forms of each different spelling; not near: as written, where full forms of given names stand for it."""
+    """(text column, fid, fam, s): the forms of each different spelling; one with short given names has its full forms and that as written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for x, p in zip(pdf["x"], pdf["p"], strict=True):
-                near = forms(x, bool(p) if known else None)
-                rows += [(x, _fid(f), *f, True) for f in near]
-                rows += [] if known else [(x, _fid(f), *f, False) for f in forms(x, False) - near]
-            yield pd.DataFrame(rows, columns=[text, "fid", "fam", "s", "near"])
+                rows += [(x, _fid(f), *f) for f in (forms(x, bool(p)) if known else forms(x) | forms(x, False))]
+            yield pd.DataFrame(rows, columns=[text, "fid", "fam", "s"])
 
     p = F.coalesce("person", F.lit(False)) if known else F.lit(False)
-    return df.select(F.col(text).alias("x"), p.alias("p")).distinct().mapInPandas(run, f"{text} string, {FORM}, near boolean")
+    return df.select(F.col(text).alias("x"), p.alias("p")).distinct().mapInPandas(run, f"{text} string, {FORM}")
 
 
 def link_spellings(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text, resource_id, verdict, slips, cosine) for the names a spelling can mean.
 
-    ``texts`` has text; ``names`` has resource_id, name, person boolean. A spelling that is a known name but for case,
-    accents, titles, short forms and order has cosine 1 with it and is joined by equality; all others meet the names
-    in the sparse join, whose cosine reaches ``LEAST_COSINE``. The best name of each resource counts. None is left out
-    for being one of many: the best resource is chosen for each mention, where its other spelling is known.
+    ``texts`` has text; ``names`` has resource_id, name, person boolean. Every spelling, also one that is a known name,
+    meets in the sparse join all names whose cosine with one of its forms reaches ``LEAST_COSINE``. The best name of
+    each resource counts. None is left out for being one of many: the best resource is chosen for each mention, where
+    its other spelling is known. Japanese names are joined by equality, as ``compare`` takes no others.
     """
     texts = texts.select("text").filter("text is not null").distinct()
     names = cut(names.select("resource_id", "name", "person").filter("name is not null and resource_id is not null").distinct())
     said, known = cut(_formed(texts, "text", False)), cut(_formed(names, "name", True))
-    same = said.join(known.select("name", "fid"), "fid").select("text", "name", F.lit(1.0).alias("cosine"))
-    rest = said.filter("near").join(same.select("text").distinct(), "text", "left_anti")
     right = known.select("fid", "fam", "s").dropDuplicates(["fid"])
-    near = cosine_join(rest.select("fid", "fam", "s").dropDuplicates(["fid"]), right, gram_weights(right), LEAST_COSINE)
-    near = near.join(rest.select("text", F.col("fid").alias("lid")), "lid").join(known.select("name", F.col("fid").alias("rid")), "rid").select("text", "name", "cosine")
+    same = said.filter("fam = 'j'").join(known.select("name", "fid"), "fid").select("text", "name", F.lit(1.0).alias("cosine"))
+    near = cosine_join(said.filter("fam <> 'j'").select("fid", "fam", "s").dropDuplicates(["fid"]), right, gram_weights(right), LEAST_COSINE)
+    near = near.join(said.select("text", F.col("fid").alias("lid")), "lid").join(known.select("name", F.col("fid").alias("rid")), "rid").select("text", "name", "cosine")
     pairs = same.unionByName(near).groupBy("text", "name").agg(F.max("cosine").alias("cosine")).join(names, "name").sortWithinPartitions("text")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -152,8 +152,9 @@ def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, least: f
             yield pd.DataFrame({"lid": pdf["lid"], "rid": pdf["rid"], "cosine": c})
 
     one = F.lit(1.0).cast("float")
-    # what the side whose prefix ends first leaves out meets only n-grams of the other that are no heavier
-    missing = F.when(F.col("ledge") >= F.col("redge"), F.col("lrest") * F.least(one, F.col("ledge") * F.col("rflat"))).otherwise(F.col("rrest") * F.least(one, F.col("redge") * F.col("lflat")))
+    # what the side whose prefix ends first leaves out meets only n-grams of the other that are no heavier; where both end at one weight, either may be first
+    first, second = F.col("lrest") * F.least(one, F.col("ledge") * F.col("rflat")), F.col("rrest") * F.least(one, F.col("redge") * F.col("lflat"))
+    missing = F.when(F.col("ledge") > F.col("redge"), first).when(F.col("ledge") < F.col("redge"), second).otherwise(F.greatest(first, second))
     hits = postings(left, "l").join(postings(right, "r"), "h").select("lid", "rid", (F.col("lw") * F.col("rw")).alias("w"), missing.alias("m"))
     near = hits.groupBy("lid", "rid").agg(F.sum("w").alias("part"), F.max("m").alias("m")).filter(F.col("part") + F.col("m") >= least - 1e-4).select("lid", "rid")
     near = near.join(left.select(F.col("fid").alias("lid"), "fam", F.col("s").alias("_ls")), "lid").join(right.select(F.col("fid").alias("rid"), F.col("s").alias("_rs")), "rid")

@@ -13,7 +13,7 @@ from almagest.llm.names import LEAST_COSINE, forms, group_mentions, link_mention
 from almagest.llm.repetition import repeated_share, repetitive, self_perplexity, tokenize
 from almagest.llm.spelling import NO, STRONG, WEAK, compare, edits
 from almagest.llm.tokenizer import VOCABULARY, PerfectHash, count_tokens, encode, vocabulary
-from almagest.llm.vectors import average_linkage, cosine_join, cosines, gram_weights, grams
+from almagest.llm.vectors import BUCKETS, average_linkage, cosine_join, cosines, gram_weights, grams
 
 # ---- components
 
@@ -250,6 +250,26 @@ def test_cosine_join_against_all_pairs(spark):
     assert len(grams(["a\U0001f600b" * 3], ["c"])[0]) == 3 and cosine_join(dfs[0].filter("false"), dfs[1], w, 0.3).count() == 0
 
 
+def test_known_spellings_meet_other_names_too(spark):
+    names = [("r1", "Anna Finquensarby", True), ("r2", "Anna Finquensarbi", True), ("r3", "Taylor", False), ("r4", "Bo Tailor", True), ("r5", "Alex Quendolmarsk", True), ("r6", "Alexander Ossalgarthorpe", True), ("r7", "沢浜 遥人", True)]
+    texts = ["Anna Finquensarby", "Taylor", "Tailor", "Alex Quendolmasrk", "Alex Ossalgarthorpe", "澤濱遥人"]
+    links = link_spellings(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(names, "resource_id string, name string, person boolean"))
+    got = {(r.text, r.resource_id): r.cosine for r in links.collect()}
+    assert got.keys() == {("Anna Finquensarby", "r1"), ("Anna Finquensarby", "r2"), ("Taylor", "r3"), ("Taylor", "r4"), ("Tailor", "r3"), ("Tailor", "r4"), ("Alex Quendolmasrk", "r5"), ("Alex Ossalgarthorpe", "r6"), ("澤濱遥人", "r7")}
+    assert all(abs(got[k] - 1) < 1e-9 for k in (("Anna Finquensarby", "r1"), ("Taylor", "r3"), ("Tailor", "r4"), ("Alex Ossalgarthorpe", "r6"), ("澤濱遥人", "r7"))) and got["Anna Finquensarby", "r2"] < 1
+
+
+def test_cosine_join_of_equal_weights(spark):
+    rng = random.Random(0)
+    sides = [[(i, "j", "".join(rng.choice("abc") for _ in range(rng.randrange(*size)))) for i in range(150)] for size in ((3, 8), (15, 40))]
+    dfs = [spark.createDataFrame(x, "fid bigint, fam string, s string") for x in sides]
+    w = np.random.default_rng(0).choice(np.array([1, 2], dtype=np.float32), BUCKETS)
+    pairs = [(a, b) for a in sides[0] for b in sides[1]]
+    all_ = cosines([a[2] for a, _ in pairs], [b[2] for _, b in pairs], ["j"] * len(pairs), w)
+    got = {(r.lid, r.rid) for r in cosine_join(*dfs, w, 0.5).collect()}
+    assert got == {(a[0], b[0]) for (a, b), c in zip(pairs, all_, strict=True) if c >= 0.5} and len(got) > 1000
+
+
 def test_average_linkage_against_one_merge_at_a_time(spark):
     rng = random.Random(12)
     n = 60
