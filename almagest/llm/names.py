@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from almagest.llm.spelling import FULL, NO, STRONG, compare, spell
-from almagest.llm.vectors import FORM, average_linkage, cosine_join, gram_weights
-from almagest.plans import cut
+from almagest.llm.spelling import FULL, NEAR_BAGS, NO, STRONG, bags, compare, spell
+from almagest.llm.vectors import FORM, average_linkage, cosine_join, cosines, gram_weights, meeting
+from almagest.plans import cut, release
 
 LEAST_COSINE = 0.15
 LEAST_AVERAGE = 0.35  # of clusters of mentions that mean no known name
@@ -61,42 +61,55 @@ def _fid(form: tuple[str, str]) -> int:
 
 
 def _formed(df: DataFrame, text: str, known: bool) -> DataFrame:
-    """(text column, fid, fam, s): the forms of each different spelling; one with short given names has its full forms and that as written."""
+    """(text column, fid, fam, s, bags): the forms of each different spelling; one with short given names has its full forms and that as written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for x, p in zip(pdf["x"], pdf["p"], strict=True):
-                rows += [(x, _fid(f), *f) for f in (forms(x, bool(p)) if known else forms(x) | forms(x, False))]
-            yield pd.DataFrame(rows, columns=[text, "fid", "fam", "s"])
+                of = sorted(bags(x, bool(p) if known else None))
+                rows += [(x, _fid(f), *f, of) for f in (forms(x, bool(p)) if known else forms(x) | forms(x, False))]
+            yield pd.DataFrame(rows, columns=[text, "fid", "fam", "s", "bags"])
 
     p = F.coalesce("person", F.lit(False)) if known else F.lit(False)
-    return df.select(F.col(text).alias("x"), p.alias("p")).distinct().mapInPandas(run, f"{text} string, {FORM}")
+    return df.select(F.col(text).alias("x"), p.alias("p")).distinct().mapInPandas(run, f"{text} string, {FORM}, bags array<bigint>")
+
+
+def _by_bags(formed: DataFrame) -> DataFrame:
+    """(fid, fam, s, a, b): each form with the bags of all its spellings, two in a row."""
+    each = formed.select("fid", "fam", "s", F.explode("bags").alias("bag")).groupBy("fid", "fam", "s").agg(F.sort_array(F.collect_set("bag")).alias("bags"))
+    pair = F.explode(F.expr("transform(sequence(0, cast((size(bags) - 1) div 2 as int)), i -> struct(bags[2 * i] as a, coalesce(get(bags, 2 * i + 1), bags[2 * i]) as b))"))
+    return each.select("fid", "fam", "s", pair.alias("p")).select("fid", "fam", "s", "p.a", "p.b")
 
 
 def link_spellings(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text, resource_id, verdict, slips, cosine) for the names a spelling can mean.
 
     ``texts`` has text; ``names`` has resource_id, name, person boolean. Every spelling, also one that is a known name,
-    meets in the sparse join all names whose cosine with one of its forms reaches ``LEAST_COSINE``. The best name of
-    each resource counts. None is left out for being one of many: the best resource is chosen for each mention, where
-    its other spelling is known. Japanese names are joined by equality, as ``compare`` takes no others.
+    meets in the sparse join all names whose cosine with one of its forms reaches ``LEAST_COSINE`` and whose letters
+    are not too many others for ``compare``. The best name of each resource counts. None is left out for being one of
+    many: the best resource is chosen for each mention, where its other spelling is known. Japanese names are joined by
+    equality, as ``compare`` takes no others. The result is partitioned by resource_id.
     """
     texts = texts.select("text").filter("text is not null").distinct()
     names = cut(names.select("resource_id", "name", "person").filter("name is not null and resource_id is not null").distinct())
     said, known = cut(_formed(texts, "text", False)), cut(_formed(names, "name", True))
-    right = known.select("fid", "fam", "s").dropDuplicates(["fid"])
-    same = said.filter("fam = 'j'").join(known.select("name", "fid"), "fid").select("text", "name", F.lit(1.0).alias("cosine"))
-    near = cosine_join(said.filter("fam <> 'j'").select("fid", "fam", "s").dropDuplicates(["fid"]), right, gram_weights(right), LEAST_COSINE)
-    near = near.join(said.select("text", F.col("fid").alias("lid")), "lid").join(known.select("name", F.col("fid").alias("rid")), "rid").select("text", "name", "cosine")
-    pairs = same.unionByName(near).groupBy("text", "name").agg(F.max("cosine").alias("cosine")).join(names, "name").sortWithinPartitions("text")
+    shared = said.sparkSession.sparkContext.broadcast(gram_weights(known.select("fid", "fam", "s").dropDuplicates(["fid"])))
+    whose = known.select("fid", F.col("s").alias("rs"), "name").distinct().join(names, "name").select(F.col("fid").alias("rid"), "rs", "name", "person", "resource_id")
+    near = cut(meeting(_by_bags(said.filter("fam <> 'j'")), _by_bags(known.filter("fam <> 'j'")), shared, LEAST_COSINE, NEAR_BAGS))
+    release(said.sparkSession)  # n-grams and their hits are the most that is on disk
+    near = near.join(said.select(F.col("fid").alias("lid"), "text", "fam", "s"), "lid").select("rid", "text", "fam", "s")
+    same = said.filter("fam = 'j'").select(F.col("fid").alias("rid"), "text", "fam", "s")
+    pairs = near.unionByName(same).join(whose, "rid").select("text", "fam", "s", "rs", "name", "person", "resource_id").sortWithinPartitions("text")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = np.array([compare(x, y, bool(p)) for x, y, p in zip(pdf["text"], pdf["name"], pdf["person"], strict=True)], dtype=np.int64).reshape(-1, 2)
-            yield pdf[["text", "resource_id", "cosine"]].assign(verdict=found[:, 0], slips=found[:, 1])[found[:, 0] != NO]
+            pdf = pdf[["text", "resource_id", "fam", "s", "rs"]].assign(verdict=found[:, 0], slips=found[:, 1])[found[:, 0] != NO]
+            cosine = cosines(pdf["s"].tolist(), pdf["rs"].tolist(), pdf["fam"].tolist(), shared.value)
+            yield pdf[["text", "resource_id", "verdict", "slips"]].assign(cosine=cosine)[cosine >= LEAST_COSINE]
 
-    checked = pairs.select("text", "name", "person", "resource_id", "cosine").mapInPandas(check, "text string, resource_id string, cosine double, verdict int, slips int")
+    checked = pairs.mapInPandas(check, "text string, resource_id string, verdict int, slips int, cosine double").repartition("resource_id")
     best = checked.groupBy("text", "resource_id").agg(F.max(F.struct("verdict", (-F.col("slips")).alias("less"), "cosine")).alias("b"))
     return best.select("text", "resource_id", "b.verdict", (-F.col("b.less")).alias("slips"), "b.cosine")
 
@@ -128,9 +141,10 @@ def link_mentions(mentions: DataFrame, resources: DataFrame) -> DataFrame:
     rows = cut(_rows(mentions))
     both = _both(rows)
     links = cut(link_spellings(both.select("text"), names))
+    release(rows.sparkSession)
     persons = known.groupBy("resource_id").agg(F.bool_or("person").alias("person"))
     hits = both.join(links.join(persons, "resource_id"), "text").filter("kind = 'e' or (kind = 'p') = person")
-    per = hits.groupBy("mention_id", "resource_id").agg(F.max("verdict").alias("top"), F.sum("cosine").alias("cosine"), F.count("*").alias("spellings"))
+    per = hits.repartition("mention_id").groupBy("mention_id", "resource_id").agg(F.max("verdict").alias("top"), F.sum("cosine").alias("cosine"), F.count("*").alias("spellings"))
     acronym = r"^\s*([Tt]he\s+)?[A-Z]{2,8}\s*$"
     said = rows.select("mention_id", "said", F.when(F.col("said") == F.col("noted"), 1).otherwise(2).alias("of"), (F.col("said").rlike(acronym) | F.col("noted").rlike(acronym)).alias("acronym"))
     per = per.join(said, "mention_id").withColumn("score", F.round(F.col("cosine") / F.col("of"), 9))

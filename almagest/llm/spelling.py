@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -181,6 +182,39 @@ def compare(text: str, name: str, person: bool) -> tuple[int, int]:
     return (STRONG, best) if best is not None else (NO, 9)
 
 
+ANY = -1  # a bag that counts as near to every other
+NEAR_BAGS = 4  # two slips change at most four bits of a bag
+
+
+def _bag(s: str) -> int:
+    """Letters of a string counted in 32 buckets, each count modulo 4 as two bits of a Gray code: a letter more or less changes one bit."""
+    out = 0
+    for c, n in Counter(ord(c) % 32 for c in s).items():
+        out |= (0, 1, 3, 2)[n % 4] << 2 * c
+    return out - (1 << 64) if out >> 63 else out
+
+
+def bags(text: str, person: bool | None = None) -> set[int]:
+    """Bags of the strings that ``compare`` measures slips between: of a spelling, or of a name if ``person`` is given.
+
+    It says NO to a spelling and a name of which no two bags are within ``NEAR_BAGS`` bits of each other, Japanese aside.
+    """
+    s = spell(text)
+    if s is None or s.ja:
+        return set()
+    if person and len(s.tokens) > 1:
+        given, middle, last = s.tokens[0], "".join(s.tokens[1:-1]), s.tokens[-1]
+        return {_bag(last), _bag(given + last), _bag(given + middle + last)}
+    out = {_bag("".join(s.tokens)), _bag(s.full)}
+    if person is None:
+        words = [w for w in s.tokens if len(w) > 1]
+        out.add(_bag("".join(words)))
+        out |= {_bag("".join([*words[:i], full, *words[i + 1 :]])) for i, w in enumerate(words) for full in FULL.get(w, ())}
+        if s.acronym:
+            out.add(ANY)
+    return out
+
+
 def _core_differs(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     """Whether two names of as many words differ in one of them by a whole short word, such as a number or a single letter."""
     if len(a) != len(b):

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almagest.llm.spelling import ANY
 from almagest.plans import cut
 
 BUCKETS = 1 << 20
@@ -125,6 +127,22 @@ def cosines(left: list[str], right: list[str], families: list[str], weights: np.
         return np.nan_to_num(dot / (sides[0][3] * sides[1][3]))
 
 
+def _postings(forms: DataFrame, shared: Broadcast, least: float, name: str, kept: dict[str, str]) -> DataFrame:
+    """The known n-grams of ``prefixes`` of each form, under 32 bits of their hash, and what is ``kept`` of the form (column: type)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, known = prefixes(pdf["s"].tolist(), pdf["fam"].tolist(), shared.value, least)
+            rows = rows[known]
+            at = rows.pop("at").to_numpy()
+            rows["h"] = (rows["h"].to_numpy() >> 32).astype(np.int32)
+            rows.columns = ["h", *(f"{name}{c}" for c in rows.columns[1:])]
+            yield rows.assign(**{f"{name}{c}": pdf[c].to_numpy()[at] for c in kept})
+
+    columns = "".join(f", {name}{c} {t}" for c, t in kept.items())
+    return forms.select("fam", "s", *kept).mapInPandas(run, f"h int, {name}w float, {name}rest float, {name}edge float, {name}flat float{columns}")
+
+
 def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, least: float) -> DataFrame:
     """(lid, rid, cosine) of all pairs of forms (fid, fam, s; one row per fid) whose cosine is at least ``least``.
 
@@ -135,17 +153,6 @@ def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, least: f
     """
     shared = left.sparkSession.sparkContext.broadcast(weights)
 
-    def postings(forms: DataFrame, name: str) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                ids = pdf["fid"].to_numpy()
-                rows, known = prefixes(pdf["s"].tolist(), pdf["fam"].tolist(), shared.value, least)
-                rows = rows[known].rename(columns={"w": f"{name}w", "rest": f"{name}rest", "edge": f"{name}edge", "flat": f"{name}flat"})
-                rows[f"{name}id"] = ids[rows.pop("at").to_numpy()]
-                yield rows
-
-        return forms.select("fid", "fam", "s").mapInPandas(run, f"h bigint, {name}w float, {name}rest float, {name}edge float, {name}flat float, {name}id bigint")
-
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             c = cosines(pdf["_ls"].tolist(), pdf["_rs"].tolist(), pdf["fam"].tolist(), shared.value)
@@ -155,12 +162,27 @@ def cosine_join(left: DataFrame, right: DataFrame, weights: np.ndarray, least: f
     # what the side whose prefix ends first leaves out meets only n-grams of the other that are no heavier; where both end at one weight, either may be first
     first, second = F.col("lrest") * F.least(one, F.col("ledge") * F.col("rflat")), F.col("rrest") * F.least(one, F.col("redge") * F.col("lflat"))
     missing = F.when(F.col("ledge") > F.col("redge"), first).when(F.col("ledge") < F.col("redge"), second).otherwise(F.greatest(first, second))
-    hits = postings(left, "l").join(postings(right, "r"), "h").select("lid", "rid", (F.col("lw") * F.col("rw")).alias("w"), missing.alias("m"))
+    hits = _postings(left, shared, least, "l", {"fid": "bigint"}).join(_postings(right, shared, least, "r", {"fid": "bigint"}), "h")
+    hits = hits.select(F.col("lfid").alias("lid"), F.col("rfid").alias("rid"), (F.col("lw") * F.col("rw")).alias("w"), missing.alias("m"))
     near = hits.groupBy("lid", "rid").agg(F.sum("w").alias("part"), F.max("m").alias("m")).filter(F.col("part") + F.col("m") >= least - 1e-4).select("lid", "rid")
     near = near.join(left.select(F.col("fid").alias("lid"), "fam", F.col("s").alias("_ls")), "lid").join(right.select(F.col("fid").alias("rid"), F.col("s").alias("_rs")), "rid")
     return near.mapInPandas(full, "lid bigint, rid bigint, cosine double").filter(F.col("cosine") >= least)
 
 
+def meeting(left: DataFrame, right: DataFrame, shared: Broadcast, least: float, bits: int) -> DataFrame:
+    """(lid, rid): all pairs of forms whose cosine reaches ``least`` and of which two bags differ in at most ``bits`` bits, and some others.
+
+    The forms have fid, fam, s and two bags a, b (``spelling.bags``), a form with more of them several rows. Bags travel
+    with the n-grams, so that pairs that only share common ones end in the join and are never moved. The result is
+    partitioned by lid.
+    """
+    kept = {"fid": "bigint", "a": "bigint", "b": "bigint"}
+    columns = lambda name: ["h", *(f"{name}{c}" for c in kept)]
+    hits = _postings(left, shared, least, "l", kept).select(*columns("l")).join(_postings(right, shared, least, "r", kept).select(*columns("r")), "h")
+    hits = hits.filter(" or ".join(f"bit_count({x} ^ {y}) <= {bits}" for x in ("la", "lb") for y in ("ra", "rb")) + f" or la = {ANY} or lb = {ANY}")
+    return hits.select(F.col("lfid").alias("lid"), F.col("rfid").alias("rid")).repartition("lid").dropDuplicates()
+
+
 def average_linkage(edges: DataFrame, *, least: float) -> DataFrame:
     """(node, cluster) of every end of an edge: clusters by average linkage, each named by its smallest node.
 

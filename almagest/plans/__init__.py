@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -26,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that the files of shuffles behind lineage cuts are deleted now; else they stay on disk until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(rows: int, rows_per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / max(1, rows_per_part)))
 

@@ -11,9 +11,9 @@ from almagest.llm.components import connected_groups, forest_levels
 from almagest.llm.mixture import mixture_report, training_order
 from almagest.llm.names import LEAST_COSINE, forms, group_mentions, link_mentions, link_spellings
 from almagest.llm.repetition import repeated_share, repetitive, self_perplexity, tokenize
-from almagest.llm.spelling import NO, STRONG, WEAK, compare, edits
+from almagest.llm.spelling import ANY, NEAR_BAGS, NO, STRONG, WEAK, bags, compare, edits
 from almagest.llm.tokenizer import VOCABULARY, PerfectHash, count_tokens, encode, vocabulary
-from almagest.llm.vectors import BUCKETS, average_linkage, cosine_join, cosines, gram_weights, grams
+from almagest.llm.vectors import BUCKETS, average_linkage, cosine_join, cosines, gram_weights, grams, meeting
 
 # ---- components
 
@@ -259,6 +259,47 @@ def test_known_spellings_meet_other_names_too(spark):
     assert all(abs(got[k] - 1) < 1e-9 for k in (("Anna Finquensarby", "r1"), ("Taylor", "r3"), ("Tailor", "r4"), ("Alex Ossalgarthorpe", "r6"), ("澤濱遥人", "r7"))) and got["Anna Finquensarby", "r2"] < 1
 
 
+def _near(text, name, person):
+    return any(ANY in (x, y) or ((x ^ y) & ((1 << 64) - 1)).bit_count() <= NEAR_BAGS for x in bags(text) for y in bags(name, person))
+
+
+def test_bags_of_all_that_compare_takes_are_near():
+    rng = random.Random(8)
+    words = ["anna", "jo", "bob", "robert", "alex", "alexander", "smith", "ek", "finquensarby", "a", "n", "society", "soc", "the", "of", "and", "dr", "ltd", "17", "müller", "muller"]
+    taken = 0
+    for _ in range(60_000):
+        name = [rng.choice(words) for _ in range(rng.randrange(1, 5))]
+        text = list(name) if rng.random() < 0.7 else [rng.choice(words) for _ in range(rng.randrange(1, 5))]
+        rng.shuffle(text)
+        text = " ".join(w[0] if rng.random() < 0.1 else w for w in text if rng.random() < 0.9)
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(text) + 1)
+            text = rng.choice((text[:i] + rng.choice("abz") + text[i:], text[:i] + text[i + 1 :], text[:i] + text[i : i + 2][::-1] + text[i + 2 :], text[:i] + rng.choice("abz") + text[i + 1 :]))
+        text = text.upper() if rng.random() < 0.1 else text
+        for person in (True, False):
+            if compare(text, " ".join(name), person)[0] != NO:
+                taken += 1
+                assert _near(text, " ".join(name), person), (text, name, person)
+    assert taken > 5000
+
+
+def test_common_ngrams_move_few_pairs(spark):
+    kinds = ["Historical Society", "Survey Department", "Publishing Company"]
+    rng = random.Random(4)
+    stems = ["".join(rng.choice(["dor", "pol", "cra", "fel", "mar", "tuk", "irb", "oss"]) for _ in range(3)) for _ in range(200)]
+    names = sorted({f"{x} {k}" for x in stems for k in kinds})
+    rows = [(i, *f, b[0], b[-1]) for i, (n, b) in enumerate((n, sorted(bags(n, False))) for n in names) for f in forms(n, False)]
+    assert all(len(bags(n, False)) <= 2 for n in names)
+    df = spark.createDataFrame(rows, "fid bigint, fam string, s string, a bigint, b bigint")
+    w = gram_weights(df)
+    hits = {(r.lid, r.rid) for r in meeting(df, df, spark.sparkContext.broadcast(w), LEAST_COSINE, NEAR_BAGS).collect()}
+    every = {(a, b) for a, x in enumerate(names) for b, y in enumerate(names) if x.split()[1:] == y.split()[1:]}  # these share n-grams of the prefixes
+    assert {(i, i) for i in range(len(names))} <= hits and len(hits) < len(every) / 5
+    taken = [(a, b) for a, b in every if compare(names[a], names[b], False)[0] != NO]
+    each = cosines([rows[a][2] for a, _ in taken], [rows[b][2] for _, b in taken], ["c"] * len(taken), w)
+    assert len(rows) == len(names) and {p for p, c in zip(taken, each, strict=True) if c >= LEAST_COSINE} <= hits
+
+
 def test_cosine_join_of_equal_weights(spark):
     rng = random.Random(0)
     sides = [[(i, "j", "".join(rng.choice("abc") for _ in range(rng.randrange(*size)))) for i in range(150)] for size in ((3, 8), (15, 40))]
